@@ -6,11 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NIL = "00000000-0000-0000-0000-000000000000"
-_PLAIN = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+_HEX = r"([0-9a-f]{8})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{4})-?([0-9a-f]{12})"
+#: Bare, urn:uuid: or in braces; all hyphens or none; outer blanks.
 _ANY = (
-    r"^(?:urn:uuid:)?(?:[0-9a-f]{32}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-    r"|\{(?:[0-9a-f]{32}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\})$"
+    r"(?i)^\s*(?=(?:urn:uuid:)?[0-9a-f-]+\s*$|\{[0-9a-f-]+\}\s*$)"
+    r"(?=(?:urn:uuid:|\{)?(?:[0-9a-f]{32}|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\}?\s*$)"
+    r"(?:urn:uuid:|\{)?" + _HEX + r"\}?\s*$"
 )
+_CANONICAL = r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 
 
 def trimmed(c: Column) -> Column:
@@ -22,20 +25,20 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | ~c.rlike(r"\S")
 
 
+def _key(c: Column, shape: str) -> Column:
+    one_form = F.lower(F.regexp_replace(c, _ANY, "$1-$2-$3-$4-$5"))
+    return F.get(F.regexp_extract_all(one_form, F.lit(shape), F.lit(0)), F.lit(0))
+
+
 def uuid_key(c: Column) -> Column:
     """Lower-case hyphenated UUID of any standard spelling (upper case, 32 digits,
     braces, urn:uuid:, outer blanks); null for anything else."""
-    s = F.lower(trimmed(c))
-    hexes = F.regexp_replace(s, r"^urn:uuid:|[{}-]", "")
-    part = lambda at, n: F.substring(hexes, at, n)
-    dashed = F.concat_ws("-", part(1, 8), part(9, 4), part(13, 4), part(17, 4), part(21, 12))
-    return F.when(c.rlike(_PLAIN), c).when(s.rlike(_ANY), dashed)
+    return _key(c, _CANONICAL)
 
 
 def entity_key(c: Column) -> Column:
     """uuid_key without the nil UUID, which names nothing."""
-    k = uuid_key(c)
-    return F.when(k != NIL, k)
+    return _key(c, "^(?!" + NIL + ")" + _CANONICAL[1:])
 
 
 def enum_key(c: Column) -> Column:
