@@ -148,7 +148,7 @@ def mixture(documents: DataFrame, targets: DataFrame, total: int | None = None,
     parts = plan(sums, _targets(targets), total)
     spans = spark.createDataFrame(parts, "pattern string, pass int, target string, a bigint, b bigint")
     # a row per pattern, pass and source: as many as the targets allow, whatever the documents
-    taken = _place(docs, seed).join(F.broadcast(spans), "pattern").filter("begins >= a and begins < b")
+    taken = _place(docs, seed).join(F.broadcast(spans), "pattern").filter("begins + n_tokens div 2 >= a and begins + n_tokens div 2 < b")
     return taken.groupBy("doc_id", F.col("target").alias("source")).agg(F.count("*").cast("int").alias("uses"), F.max("n_tokens").alias("n_tokens"))
 
 
