@@ -46,9 +46,14 @@ def jaro_winkler(a: str, b: str, boost: float = 0.7) -> float:
     return jaro + 0.1 * p * (1 - jaro)
 
 
-@F.pandas_udf("double")
-def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else jaro_winkler(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def jaro_winkler_udf(a: str, b: str) -> Column:
+    """jaro_winkler of two columns as an Arrow UDF; null where either is."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else jaro_winkler(p, q) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return run(a, b)
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

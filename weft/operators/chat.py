@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weft.operators.search import chat_terms, search, search_docs
 from weft.plans.model import Model
@@ -28,8 +29,6 @@ def conversations_list(m: Model) -> DataFrame:
 
 def conversation_messages(m: Model) -> DataFrame:
     """(conversation_id, message_id, position, text) in order of time."""
-    from pyspark.sql import Window as W
-
     live = m.flat.select(F.col("id").alias("target_id"), "created_at", "message_text")
     rows = message_edges(m).join(live, "target_id")
     w = W.partitionBy("source_id").orderBy("created_at", "target_id")
@@ -67,7 +66,8 @@ def context(m: Model, ids: DataFrame) -> DataFrame:
     to = m.flat.select(F.col("id").alias("target_id"), F.col("title").alias("t"), F.col("entity_type").alias("k"))
     line = F.concat_ws("", "relationship_type", F.lit(" → "), "t", F.lit(" ("), "k", F.lit(")")).alias("line")
     own = m.edges.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(to, "target_id").select(F.col("source_id").alias("id"), line).distinct()
-    own = own.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("line")), 1, 50).alias("relationships"))
+    first = own.withColumn("rn", F.row_number().over(W.partitionBy("id").orderBy("line"))).filter("rn <= 50")  # pruned before the shuffle
+    own = first.groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("relationships"))
     return m.flat.join(ids.select("id"), "id", "left_semi").join(own, "id", "left").select("id", "entity_type", "title", "tags", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("relationships", F.array().cast("array<string>")).alias("relationships"))
 
 
@@ -101,8 +101,8 @@ def citations(answer: str, ctx: list) -> list[dict]:
 
 def marker_citations(messages: DataFrame) -> DataFrame:
     """W04, M09 over a table: (message_id, number) for each marker in the text."""
-    numbers = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[([0-9]{1,3})\]"), F.lit(1)))).cast("int").alias("number")
-    return messages.select("message_id", numbers)
+    numbers = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[([0-9]{1,3})\]"), F.lit(1)))).alias("number")
+    return messages.select("message_id", numbers).withColumn("number", F.col("number").cast("int"))
 
 
 def mock_answer(ctx: list) -> str:
