@@ -59,7 +59,7 @@ def orphans(tables: dict[str, tuple[DataFrame, list[str]]], entities: DataFrame)
     state = key_state(refs, entities)
     suspect = state.filter("refs > 0 and (existence = 0 or born > first_at or gone < last_at)")
     total = refs.count()
-    met = split_join(refs.filter("key is not null"), suspect.select("key", "existence", "born", "gone", "refs"), ["key"], "refs", total)
+    met = split_join(refs.filter("key is not null"), suspect.select("key", "existence", "born", "gone", "refs"), ["key"], "refs", total, state.select("key", "refs"))
     reason = F.when(F.col("existence") == 0, "missing").when(F.col("born") > F.col("at"), "later").when(F.col("gone") < F.col("at"), "deleted")
     held = met.withColumn("reason", reason).filter("reason is not null").drop("key", "existence", "born", "gone")
     bad = refs.filter("key is null").drop("key").withColumn("reason", F.lit("no_key"))

@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 HEAVY = 512
 
 
-def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:
+def split_join(rows: DataFrame, facts: DataFrame, keys: list[str], weight: str, total: int, hot: DataFrame | None = None, how: str = "inner") -> DataFrame:
     """Join rows with facts (one row per key, with the key's number of rows in column
     `weight`, `total` over all keys). Facts of heavy keys are broadcast: by the definition
-    of HEAVY these are at most HEAVY rows at any size of the data. All other keys
-    are joined by an ordinary shuffle, in which none can be large."""
+    of HEAVY these are at most HEAVY rows at any size of the data. Rows of other keys
+    are joined by an ordinary shuffle, in which none can be large. hot: the weights of all keys, if facts has
+    only some of them; rows of a heavy key that has no facts then stay out of the shuffle."""
     least = max(1, total // HEAVY)
     heavy = facts.filter(F.col(weight) > least).drop(weight)
     light = facts.filter(F.col(weight) <= least).drop(weight)
-    parts = [rows.join(F.broadcast(heavy), keys, how), rows.join(light, keys, how)]
+    known = F.broadcast((facts if hot is None else hot).filter(F.col(weight) > least).select(*keys))
+    parts = [rows.join(F.broadcast(heavy), keys, how), rows.join(known, keys, "left_anti").join(light, keys, how)]
     return reduce(DataFrame.unionByName, parts)
 
 
