@@ -41,15 +41,15 @@ def _links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(_links(spark, d), paths=False).select("node_id", "root_id", "depth")
+    return H.hierarchy(_links(spark, d), paths=False, uuids=True).select("node_id", "root_id", "depth")
 
 
 def p7_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    return H.hierarchy(_links(spark, d))
+    return H.hierarchy(_links(spark, d), uuids=True)
 
 
 def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return H.ancestors(_links(spark, d))
+    return H.ancestors(_links(spark, d), uuids=True)
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_wide, p4_found, p4_report, p7_found, p7_hierarchy, p7_descendants)}

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +46,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written as a table in the shared checkpoint folder and read back: its lineage ends
+    there, any executor can read it, and it is compressed, unlike checkpoint()'s files."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Removes the table behind a cut that is no longer needed, and lets the driver notice the
+    shuffles that went before it, which otherwise stay on disk until its next collection."""
+    path = getattr(df, "_weft_path", None)
+    if path:
+        jvm = df.sparkSession._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        gc.collect()
+        jvm.System.gc()
