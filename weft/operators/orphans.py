@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.keys import entity_key, is_blank
 from weft.plans.skew import split_join
+from weft.session import cut
 
 
 def current_entities(entities: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def orphans(tables: dict[str, tuple[DataFrame, list[str]]], entities: DataFrame)
     """(table_name, field_name, record_id, at, reason), one row per reference that does not hold;
     reason is no_key, missing, later or deleted."""
     refs = references(tables)
-    state = key_state(refs, entities)
+    state = cut(key_state(refs, entities))
     suspect = state.filter("refs > 0 and (existence = 0 or born > first_at or gone < last_at)")
     total = refs.count()
     met = split_join(refs.filter("key is not null"), suspect.select("key", "existence", "born", "gone", "refs"), ["key"], "refs", total, state.select("key", "refs"))
