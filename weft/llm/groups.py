@@ -30,7 +30,7 @@ def match_links(log: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def match_groups(log: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(entity_id, group_id) for each record that has a link."""
-    found = components(match_links(log, threshold), "a", "b")
+    found = components(match_links(log, threshold), "a", "b", uuids=True)
     return found.select(F.col("node").alias("entity_id"), F.col("component").alias("group_id"))
 
 
