@@ -45,12 +45,14 @@ def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, words.select("entity_id", F.size("w").alias("len"))
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, terms: list[str], scale: float = 1.0) -> DataFrame:
+def bm25(postings: DataFrame, lengths: DataFrame, terms: list[str], scale: float = 1.0, prefixes: tuple = ()) -> DataFrame:
     """(entity_id, score, hits): negative scores, the best least; hits the distinct terms met.
+    Every term that begins with one of the prefixes counts as a term.
 
     Only the query's terms leave the index; statistics are one row."""
     stats = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    wanted = postings.filter(F.col("term").isin(terms)).select("term", "entity_id", "tf")
+    asked = reduce(lambda a, p: a | F.col("term").startswith(p), prefixes, F.col("term").isin(terms))
+    wanted = postings.filter(asked).select("term", "entity_id", "tf")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     rows = wanted.join(F.broadcast(df), "term").join(lengths, "entity_id").join(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
@@ -60,10 +62,11 @@ def bm25(postings: DataFrame, lengths: DataFrame, terms: list[str], scale: float
 
 def phrase(postings: DataFrame, words: list[str]) -> DataFrame:
     """Entities in which the words follow one another."""
-    hits = [
-        postings.filter(F.col("term") == w).select("entity_id", F.transform("positions", lambda p, k=k: p - k).alias(f"p{k}"))
-        for k, w in enumerate(words)
-    ]
+
+    def starts(k: int) -> Column:
+        return F.transform("positions", lambda p: p - k).alias(f"p{k}")
+
+    hits = [postings.filter(F.col("term") == w).select("entity_id", starts(k)) for k, w in enumerate(words)]
     every = reduce(lambda a, b: a.join(b, "entity_id"), hits)
     common = reduce(F.array_intersect, [F.col(f"p{k}") for k in range(len(words))])
     return every.filter(F.size(common) > 0).select("entity_id")
@@ -144,12 +147,13 @@ def matching(postings: DataFrame, tree) -> DataFrame:
     return a.join(b, "entity_id", "left_semi" if op == "and" else "left_anti")
 
 
-def _terms(tree) -> list[str]:
+def _terms(tree, kind: str = "term") -> list[str]:
+    """The query's terms (or its prefixes) outside NOT."""
     if tree[0] in ("term", "prefix"):
-        return [tree[1]]
+        return [tree[1]] if tree[0] == kind else []
     if tree[0] == "phrase":
-        return tree[1]
-    return _terms(tree[1]) + ([] if tree[0] == "not" else _terms(tree[2]))
+        return tree[1] if kind == "term" else []
+    return _terms(tree[1], kind) + ([] if tree[0] == "not" else _terms(tree[2], kind))
 
 
 def search(docs: DataFrame, query: str, kind: str | None = None, tag: str | None = None, limit: int | None = None, scale: float = 1.0) -> DataFrame:
@@ -157,7 +161,7 @@ def search(docs: DataFrame, query: str, kind: str | None = None, tag: str | None
     postings, lengths = index(docs)
     tree = parse(query)
     terms = sorted(set(_terms(tree)))
-    found = bm25(postings, lengths, terms, scale).join(matching(postings, tree), "entity_id", "left_semi")
+    found = bm25(postings, lengths, terms, scale, tuple(sorted(set(_terms(tree, "prefix"))))).join(matching(postings, tree), "entity_id", "left_semi")
     rows = docs if kind is None else docs.filter(F.lower("entity_type") == kind.lower())
     rows = rows if tag is None else rows.filter(F.array_contains("tag_list", tag))
     out = found.join(rows.select("entity_id", "content"), "entity_id").select("entity_id", "score", snippet(F.col("content"), terms).alias("snippet"))
