@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weft.functions.keys import entity_key, enum_key
+from weft.session import spread
 
 _END = "~weft end~"
 
@@ -68,6 +69,7 @@ def cells(rows: DataFrame, catalog: list, values: bool = True) -> DataFrame:
     cell is struct(version, created_at, id, value), null where no row has a value. Rows of
     one cell are combined before the shuffle, so a hot entity costs one row per cell and task.
     values=False keeps only whether there is a value."""
+    rows = spread(rows.select("entity_id", "component_type", "data", "version", "created_at", "id"))
     kinds = {r["component_type"].strip().lower(): r for r in catalog}
     named = F.create_map(*[F.lit(x) for k, r in kinds.items() for x in (k, r["component_type"])])
     base = rows.select(
