@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.session import table
+from weft.session import spread, table
 
 #: Least consecutive words, and words of a passage window.
 RUN, WINDOW = 12, 24
@@ -197,7 +197,7 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
             if out:
                 yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
-    return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(run, _OUT).distinct()
+    return spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null")).mapInPandas(run, _OUT).distinct()
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

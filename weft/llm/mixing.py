@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 
 from weft.llm.tokens import TOKENIZER, with_token_counts
 from weft.plans.skew import split_join
-from weft.session import cut, table
+from weft.session import cut, spread, table
 
 SEED = 13
 #: Documents of one hash bucket of the prefix sums, about.
@@ -113,7 +113,7 @@ def usable(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER)
     """(doc_id, source, n_tokens, pattern) for each document of a target source that has tokens."""
     wanted = targets.select(source_key(F.col("source")).alias("source")).filter("source is not null").distinct()
     rows = documents.select("doc_id", source_key(F.col("source")).alias("source"), "text").filter("doc_id is not null and source is not null and text is not null")
-    rows = rows.join(F.broadcast(wanted), "source", "left_semi")  # the targets: a small fixed table
+    rows = spread(rows.join(F.broadcast(wanted), "source", "left_semi"))  # the targets: a small fixed table
     counted = with_token_counts(rows.withColumn("h", F.xxhash64("text", F.length("text"))), tokenizer=tokenizer).filter("n_tokens > 0")
     one = counted.groupBy("doc_id").agg(F.min(F.struct("source", "n_tokens", "h")).alias("d")).select("doc_id", "d.*")
     one = cut(one)

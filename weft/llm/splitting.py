@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.tokens import TOKENIZER, clean, encoding, vocabulary
-from weft.session import table
+from weft.session import spread, table
 
 KINDS = ("hard", "word", "sentence", "paragraph", "end")
 #: Bytes of a range of a giant file, and of the halo in which its end must find a boundary.
@@ -160,7 +160,7 @@ def split_documents(documents: DataFrame, profiles: DataFrame, tokenizer: str =
     wanted, ranks = profile_rows(profiles), vocabulary(tokenizer)
     schema = _OUT if with_text else _OUT.rpartition(",")[0]
     names = [c.split()[0] for c in schema.split(", ")]
-    docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    docs = spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null"))
     if not wanted:
         return documents.sparkSession.createDataFrame([], schema)
 
