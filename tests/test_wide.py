@@ -39,8 +39,7 @@ BAD = [
 
 def test_values_and_unreadable(spark, catalog):
     for items, expected in ((GOOD, 0), (BAD, len(BAD))):
-        n = 0
-        data = rows(spark, *[(f"{k:032x}"[:-1] + "1", t, d, 1) for k, (t, d) in enumerate(items)])
+        data = rows(spark, *[(E1[:-2] + f"{k:02d}", t, d, 1) for k, (t, d) in enumerate(items)])
         n = W.unreadable(data, catalog).count()
         assert n == expected, items
 
