@@ -87,6 +87,19 @@ def test_hierarchy(spark):
     assert whole["p"]["on_cycle"] and not whole["s"]["on_cycle"] and whole["x"]["on_cycle"]
 
 
+def test_hierarchy_is_the_same_whatever_the_bound(spark):
+    rng = random.Random(3)
+    links = [(f"t{rng.randrange(k):02d}", f"t{k:02d}") for k in range(1, 60)] + [(f"c{k:02d}", f"c{k + 1:02d}") for k in range(21)]
+    links += [("p", "q"), ("q", "r"), ("r", "p"), ("r", "s"), ("s", "u"), ("x", "x"), ("x", "y"), ("y", "z"), ("y", "w")]
+    df = spark.createDataFrame(links, "parent string, child string")
+    names = ["node_id", "root_id", "depth", "parent_id", "path", "descendants", "on_cycle"]
+    whole, doubled = ({tuple(r[n] for n in names) for r in H.hierarchy(df, bound).collect()} for bound in (1000, 1))
+    assert doubled == whole and len(whole) == 60 + 22 + 5 + 4
+    assert {r[0] for r in doubled if r[6]} == {"p", "q", "r", "x"}
+    slim = [{tuple(r) for r in H.hierarchy(df, bound, paths=False).collect()} for bound in (1000, 1)]
+    assert slim[0] == slim[1] == {(*r[:4], r[6]) for r in whole}
+
+
 def test_ancestors_and_empty(spark):
     links = spark.createDataFrame([(f"{k:02d}", f"{k + 1:02d}") for k in range(9)], "parent string, child string")
     got = {(r["ancestor"], r["descendant"], r["distance"]) for r in H.ancestors(links).collect()}

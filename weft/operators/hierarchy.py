@@ -4,7 +4,9 @@ Connected components are found first (star contraction). Every component up to `
 is co-located in one task and traversed by an iterative depth-first search with node colours
 (white, grey, black; an edge to a grey node is a back edge, so its nodes are in a cycle). A
 component larger than the bound is never collected: its nodes find root and depth by pointer
-doubling in distributed joins, which gives the same rows.
+doubling in distributed joins, the nodes reached from unended walks of more steps than there
+are nodes are the cycles, and outside cycles path and descendants are doubled likewise, which
+gives the same rows.
 
 Defined results: links with a null end are dropped; repeated links count once; if a node has
 several parents the least of them holds; a node linked to itself, a node on a cycle and every
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.plans.stars import components
-from weft.session import cut
+from weft.session import cut, release
 
 #: Most nodes of a component that one task traverses.
 BOUND = 50_000
@@ -110,7 +112,7 @@ def _small(paths: bool) -> Callable:
 
 
 def doubled(up: DataFrame) -> DataFrame:
-    """(node, root, depth, parent) by pointer doubling; nodes that never end have root null."""
+    """(node, root, depth, parent, on_cycle) by pointer doubling; nodes that never end have root null."""
     # far: the node reached after `hops` steps, or the root once that is reached
     now = cut(up.select("node", F.coalesce("parent", "node").alias("far"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("hops"), F.col("parent").isNull().alias("done")))
     reach, total = 1, now.count()
@@ -119,14 +121,35 @@ def doubled(up: DataFrame) -> DataFrame:
         open_ = now.filter("not done").join(far, "far").select("node", F.col("f2").alias("far"), (F.col("hops") + F.col("h2")).alias("hops"), F.col("d2").alias("done"))
         now = cut(now.filter("done").unionByName(open_))
         reach *= 2
+    # a walk that has not ended after more steps than nodes stands on a cycle, and every node of a cycle is stood on
+    ring = now.filter("not done").select(F.col("far").alias("node")).distinct().withColumn("ring", F.lit(True))
     ended = now.select("node", F.when(F.col("done"), F.col("far")).alias("root"), F.when(F.col("done"), F.col("hops")).alias("depth"))
-    return ended.join(up, "node")
+    return ended.join(up, "node").join(ring, "node", "left").withColumn("on_cycle", F.col("ring").isNotNull()).drop("ring")
+
+
+def laid(up: DataFrame) -> DataFrame:
+    """(node, path, descendants) of trees by pointer doubling; up must be free of cycles.
+
+    Not done is exactly a node at least `reach` deep; far is then its ancestor at that distance."""
+    # trail: the path below far down to the node; size: nodes less than `reach` below, with the node
+    now = cut(up.select(
+        "node", F.coalesce("parent", "node").alias("far"), F.col("parent").isNull().alias("done"),
+        F.when(F.col("parent").isNull(), "").otherwise(F.concat(F.lit("/"), "node")).alias("trail"), F.lit(1).cast("bigint").alias("size"),
+    ))
+    while not now.filter("not done").isEmpty():
+        more = now.filter("not done").groupBy(F.col("far").alias("node")).agg(F.sum("size").alias("more"))
+        grown = now.join(more, "node", "left").withColumn("size", F.col("size") + F.coalesce("more", F.lit(0))).drop("more")
+        far = now.select(F.col("node").alias("far"), F.col("far").alias("f2"), F.col("done").alias("d2"), F.col("trail").alias("t2"))
+        open_ = grown.filter("not done").join(far, "far").select("node", F.col("f2").alias("far"), F.col("d2").alias("done"), F.concat("t2", "trail").alias("trail"), "size")
+        before, now = now, cut(grown.filter("done").unionByName(open_))
+        release(before)
+    return now.select("node", F.concat(F.lit("/"), "far", "trail").alias("path"), (F.col("size") - 1).alias("descendants"))
 
 
 def hierarchy(links: DataFrame, bound: int = BOUND, paths: bool = True, uuids: bool = False) -> DataFrame:
     """node_id, root_id, depth, parent_id, path, descendants, on_cycle for each node of links
-    (columns parent, child; uuids: canonical UUIDs). Nodes of components beyond the bound have path, descendants and
-    on_cycle null: their full lists are the rows of ancestors()."""
+    (columns parent, child; uuids: canonical UUIDs), the same whatever the bound; without path
+    and descendants if paths is false."""
     up = cut(parents(links))
     own = components(up.filter("parent is not null"), "node", "parent", uuids)
     placed = cut(up.join(own, "node", "left").withColumn("component", F.coalesce("component", "node")))
@@ -136,12 +159,17 @@ def hierarchy(links: DataFrame, bound: int = BOUND, paths: bool = True, uuids: b
     small = placed if every_small else placed.join(large, "component", "left_anti")
     small = small.repartition("component").sortWithinPartitions("component").select("component", "node", "parent")
     out = small.mapInPandas(_small(paths), _OUT)
+    if not paths:
+        out = out.drop("path", "descendants")
     if not every_small:
         rest = placed.join(large, "component", "left_semi").select("node", "parent")
         d = doubled(cut(rest))
+        if paths:
+            d = cut(d)
+            d = d.join(laid(d.filter("root is not null").select("node", "parent")), "node", "left")
         out = out.unionByName(d.select(
             F.col("node").alias("node_id"), F.coalesce("root", F.lit(CYCLE)).alias("root_id"), F.coalesce(F.col("depth").cast("int"), F.lit(-1)).alias("depth"),
-            F.col("parent").alias("parent_id"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("descendants"), F.lit(None).cast("boolean").alias("on_cycle"),
+            F.col("parent").alias("parent_id"), *(["path", "descendants"] if paths else []), "on_cycle",
         ))
     return out
 
