@@ -1,5 +1,6 @@
 """Problems 4 and 7, and star contraction."""
 
+import inspect
 import random
 from datetime import datetime, timedelta
 
@@ -105,3 +106,10 @@ def test_ancestors_and_empty(spark):
     got = {(r["ancestor"], r["descendant"], r["distance"]) for r in H.ancestors(links).collect()}
     assert got == {(f"{a:02d}", f"{b:02d}", b - a) for a in range(10) for b in range(a + 1, 10)}
     assert H.hierarchy(links.limit(0)).count() == 0
+
+
+def test_ancestors_have_no_limit_of_distance(spark):
+    assert "most" not in inspect.signature(H.ancestors).parameters
+    links = spark.createDataFrame([(f"{k:03d}", f"{k + 1:03d}") for k in range(150)], "parent string, child string")
+    got = H.ancestors(links)
+    assert got.count() == 151 * 150 // 2 and got.agg({"distance": "max"}).first()[0] == 150

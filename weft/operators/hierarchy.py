@@ -174,16 +174,17 @@ def hierarchy(links: DataFrame, bound: int = BOUND, paths: bool = True, uuids: b
     return out
 
 
-def ancestors(links: DataFrame, most: int = 10_000, uuids: bool = False) -> DataFrame:
+def ancestors(links: DataFrame, uuids: bool = False) -> DataFrame:
     """(ancestor, descendant, distance) for every node outside cycles: its full lists of
-    ancestors and descendants as rows, by joins that double the distance."""
+    ancestors and descendants as rows, by joins that double the distance until none is farther,
+    so their number grows with the depth and a chain of n nodes has n * (n - 1) / 2 rows."""
     rows = hierarchy(links, paths=False, uuids=uuids)
     step = cut(rows.filter("depth > 0").select(F.col("node_id").alias("d"), F.col("parent_id").alias("a")))
-    every, front, reach = cut(step.select("a", "d", F.lit(1).alias("k"))), None, 1
-    while reach < most:
+    every, reach = cut(step.select("a", "d", F.lit(1).alias("k"))), 1
+    while True:
         front = every.filter(F.col("k") == reach)
-        more = every.select(F.col("a").alias("m"), "d", F.col("k").alias("k1")).join(front.select(F.col("a").alias("a"), F.col("d").alias("m"), F.col("k").alias("k2")), "m").select("a", "d", (F.col("k1") + F.col("k2")).alias("k"))
+        more = cut(every.select(F.col("a").alias("m"), "d", F.col("k").alias("k1")).join(front.select(F.col("a").alias("a"), F.col("d").alias("m"), F.col("k").alias("k2")), "m").select("a", "d", (F.col("k1") + F.col("k2")).alias("k")))
         if more.isEmpty():
             break
-        every, reach = cut(every.union(more)), reach * 2
+        every, reach = every.union(more), reach * 2
     return every.select(F.col("a").alias("ancestor"), F.col("d").alias("descendant"), F.col("k").alias("distance"))
