@@ -175,6 +175,20 @@ def test_neighbours(spark, monkeypatch):
     assert NB.neighbours(df.limit(0)).count() == 0
 
 
+def test_neighbours_far_apart(spark):
+    """Without clusters the true neighbours lie in many lists: the number visited must follow."""
+    x = np.random.default_rng(2).normal(size=(2500, 24)).astype(np.float32)
+    df = spark.createDataFrame([(uid(k + 1), "m", v.tolist(), 24, T) for k, v in enumerate(x)], "entity_id string, model string, vector array<float>, dimensions int, created_at timestamp")
+    got = {}
+    for r in NB.neighbours(df, 5).collect():
+        got.setdefault(r["entity_id"], set()).add(r["other_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    best = np.argsort(-s, axis=1)[:, :5]
+    assert sum(len({uid(j + 1) for j in best[k]} & got[uid(k + 1)]) for k in range(2500)) / 12500 > 0.9
+
+
 # --- 8 ---------------------------------------------------------------------------------------
 def test_leaks(spark):
     rng = random.Random(8)

@@ -1,11 +1,14 @@
 """Problem 6: the most similar vectors for every vector.
 
 An inverted file: unit vectors are assigned to coarse centroids and stored there with
-product-quantised residuals. Each query visits its `probes` nearest lists, scores their
-codes from asymmetric distance tables (exact query against quantised vector), and the best
-`rerank` of them are scored exactly from the stored vectors. Centroids and codebooks are fitted on a
+product-quantised residuals. Each query visits its nearest lists, scores their codes
+asymmetrically (exact query against quantised vector), and the best, `rerank` for each list visited, are
+scored exactly from the stored vectors. How many lists are visited is measured for each model: ASKED
+vectors are compared with all others, and as many lists are visited as hold the share COVER of
+their true neighbours, at least `probes`. Lists share bins of about BLOCK vectors, so a query is sent once to
+a bin, not to each list. Centroids and codebooks are fitted on a
 sample of at most SAMPLE vectors per model; every vector is indexed and every vector is
-a query. Long lists are cut into blocks and their queries into chunks, so a task holds at most
+a query. Long bins are cut into blocks and their queries into chunks, so a task holds at most
 BLOCK vectors and CHUNK queries however uneven the lists are. Exact copies are indexed once and
 expanded afterwards, without forming all pairs of a group.
 
@@ -33,14 +36,17 @@ K, MIN_COSINE = 5, 0.80
 #: Most vectors of a model that the index is fitted on, and most lists and codes of it.
 SAMPLE, LISTS, CODES, PARTS = 32_768, 2_048, 256, 8
 PROBES, RERANK, BLOCK, CHUNK = 10, 48, 8_192, 16_384
+#: Queries a model that the number of lists to visit is measured with, and the share of their true neighbours in these lists.
+ASKED, COVER = 512, 0.97
 
 
 @dataclass
 class Index:
-    """Coarse centroids (lists x d) and residual codebooks (parts x codes x d/parts)."""
+    """Coarse centroids (lists x d), residual codebooks (parts x codes x d/parts) and the bin of each list."""
 
     centroids: np.ndarray
     books: np.ndarray
+    bins: np.ndarray
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -81,11 +87,13 @@ def fit(x: np.ndarray, total: int, seed: int = 7) -> Index:
     """An index for `total` vectors from the sample x."""
     lists = int(np.clip(np.sqrt(total), 1, min(LISTS, max(1, len(x) // 8))))
     c = _kmeans(x, lists, 8, seed)
-    rest = x - c[_nearest(x, c)]
+    own = _nearest(x, c)
+    rest = x - c[own]
+    size = np.bincount(own, minlength=len(c)) * (total / len(x))
     d = x.shape[1]
     parts = next(p for p in range(min(PARTS, d), 0, -1) if d % p == 0)
     books = np.stack([_kmeans(np.ascontiguousarray(rest[:, p * d // parts : (p + 1) * d // parts]), min(CODES, len(x)), 6, seed + p) for p in range(parts)])
-    return Index(c, books)
+    return Index(c, books, ((np.cumsum(size) - size / 2) / BLOCK).astype("int32"))
 
 
 def _encode(x: np.ndarray, own: np.ndarray, ix: Index) -> np.ndarray:
@@ -94,33 +102,34 @@ def _encode(x: np.ndarray, own: np.ndarray, ix: Index) -> np.ndarray:
     return np.stack([_nearest(rest[:, p * w : (p + 1) * w], b) for p, b in enumerate(ix.books)], axis=1).astype(np.uint8)
 
 
-def _score(q: np.ndarray, codes: np.ndarray, centroid: np.ndarray, ix: Index) -> np.ndarray:
-    """Asymmetric scores of queries against one list's codes, from a table per query and part."""
-    w = ix.books.shape[2]
-    s = np.repeat((q @ centroid)[:, None], len(codes), axis=1)
-    for p, b in enumerate(ix.books):
-        s += (q[:, p * w : (p + 1) * w] @ b.T)[:, codes[:, p]]
-    return s
+def _decoded(codes: np.ndarray, own: np.ndarray, ix: Index) -> np.ndarray:
+    """The vectors that codes stand for: an inner product with one is the asymmetric score."""
+    return ix.centroids[own] + np.concatenate([b[codes[:, p]] for p, b in enumerate(ix.books)], axis=1)
+
+
+def _near(x: np.ndarray, ix: Index) -> np.ndarray:
+    return x @ ix.centroids.T - (ix.centroids**2).sum(1) / 2
 
 
-def _assign(indexes: dict, probes: int):
+def _assign(indexes: dict, probes: dict):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ixs = indexes.value
         for b in batches:
             for model, g in b.groupby("model", sort=False):
                 ix = ixs[model]
                 x = _unit(g["vector"])
-                half = (ix.centroids**2).sum(1) / 2
-                near = x @ ix.centroids.T - half
-                k = min(probes, near.shape[1])
-                own = near.argmax(1)
-                visit = np.argpartition(-near, k - 1, axis=1)[:, :k]
+                near = _near(x, ix)
+                k = min(probes[model], near.shape[1])
+                own = near.argmax(1).astype("int32")
+                visit = np.argpartition(-near, k - 1, axis=1)[:, :k].astype("int32")
                 codes = _encode(x, own, ix)
                 ids = g["entity_id"].to_numpy()
                 raw = np.array([r.tobytes() for r in x], dtype=object)
-                yield pd.DataFrame({"model": model, "list": own.astype("int32"), "base": True, "entity_id": ids, "x": raw, "codes": [c.tobytes() for c in codes]})
-                at = np.repeat(np.arange(len(x)), k)
-                yield pd.DataFrame({"model": model, "list": visit.ravel().astype("int32"), "base": False, "entity_id": ids[at], "x": raw[at], "codes": None})
+                yield pd.DataFrame({"model": model, "bin": ix.bins[own], "base": True, "entity_id": ids, "x": raw, "lists": [o.tobytes() for o in own], "codes": [c.tobytes() for c in codes]})
+                for n in np.unique(ix.bins):
+                    inside = ix.bins[visit] == n
+                    at = np.flatnonzero(inside.any(1))
+                    yield pd.DataFrame({"model": model, "bin": n, "base": False, "entity_id": ids[at], "x": raw[at], "lists": [visit[i, inside[i]].tobytes() for i in at], "codes": None})
 
     return run
 
@@ -134,18 +143,27 @@ def _search(indexes: dict, k: int, least: float, rerank: int):
         ix = indexes.value[model]
         x = np.frombuffer(b"".join(base["x"]), np.float32).reshape(len(base), -1)
         codes = np.frombuffer(b"".join(base["codes"]), np.uint8).reshape(len(base), -1)
+        own = np.frombuffer(b"".join(base["lists"]), np.int32)
         q = np.frombuffer(b"".join(query["x"]), np.float32).reshape(len(query), -1)
+        visits = np.zeros((len(query), len(ix.centroids)), bool)
+        visits[np.repeat(np.arange(len(query)), query["lists"].str.len() // 4), np.frombuffer(b"".join(query["lists"]), np.int32)] = True
         names, qn = base["entity_id"].to_numpy(), query["entity_id"].to_numpy()
         rank = np.argsort(np.argsort(names))
-        centroid = ix.centroids[int(g["list"].iloc[0])]
-        r = min(rerank, len(x))
+        decoded = _decoded(codes, own, ix).T
         out = []
         step = max(1, 2_000_000 // len(x))
         for i in range(0, len(q), step):
             part = q[i : i + step]
-            s = _score(part, codes, centroid, ix)
+            s = part @ decoded
+            s[~visits[i : i + step][:, own]] = -np.inf
+            r = min(rerank * int(visits[i : i + step].sum(1).max()), len(x))
             top = np.argpartition(-s, r - 1, axis=1)[:, :r] if r < len(x) else np.broadcast_to(np.arange(len(x)), (len(part), len(x)))
+            # all of them exactly in single precision, the best of these in double
+            single = np.where(np.isneginf(np.take_along_axis(s, top, 1)), -2, np.take_along_axis(part @ x.T, top, 1))
+            if r > 8 * k:
+                top = np.take_along_axis(top, np.argpartition(-single, 8 * k - 1, axis=1)[:, : 8 * k], 1)
             exact = np.einsum("qrd,qd->qr", x[top].astype(np.float64), part.astype(np.float64))
+            exact[np.isneginf(np.take_along_axis(s, top, 1))] = -2
             exact[names[top] == qn[i : i + step, None]] = -2
             order = np.lexsort((rank[top], -exact), axis=1)[:, :k]
             rows = np.arange(len(part))[:, None]
@@ -159,19 +177,53 @@ def _search(indexes: dict, k: int, least: float, rerank: int):
     return run
 
 
-def _fitted(points: DataFrame, counts: dict) -> dict:
-    """Model to Index, from a sample by hash of the id of at most SAMPLE vectors a model."""
+def _fitted(points: DataFrame, counts: dict) -> tuple[dict, dict]:
+    """Model to Index, from a sample by hash of the id of at most SAMPLE vectors a model; model to
+    (ids, vectors) of at most ASKED of these."""
     share = F.lit(0.0)
     for m, n in counts.items():
         share = F.when(F.col("model") == m, min(1.0, 0.95 * SAMPLE / n)).otherwise(share)
     pick = F.pmod(F.xxhash64("entity_id"), F.lit(1_000_003)) < share * 1_000_003
-    sample = points.filter(pick).select("model", "vector").toArrow().to_pandas()
-    return {m: fit(_unit(g["vector"])[:SAMPLE], counts[m]) for m, g in sample.groupby("model")}
+    sample = points.filter(pick).select("model", "entity_id", "vector").toArrow().to_pandas()
+    fits = {m: fit(_unit(g["vector"])[:SAMPLE], counts[m]) for m, g in sample.groupby("model")}
+    few = {m: g.sample(min(ASKED, len(g)), random_state=7) for m, g in sample.groupby("model")}
+    return fits, {m: (g["entity_id"].to_numpy(), _unit(g["vector"])) for m, g in few.items()}
+
+
+def _measured(points: DataFrame, fits: dict, queries: dict, k: int, least: float, probes: int) -> dict:
+    """Model to the number of lists to visit: the fewest, at least `probes`, that hold the share COVER
+    of the k nearest of the queries, of those with a cosine of at least `least`."""
+    shared = points.sparkSession.sparkContext.broadcast((fits, queries))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ixs, asked = shared.value
+        best: dict = {}
+        for b in batches:
+            for model, g in b.groupby("model", sort=False):
+                x, (ids, q) = _unit(g["vector"]), asked[model]
+                s = np.where(g["entity_id"].to_numpy() == ids[:, None], -2, q @ x.T)
+                own = np.broadcast_to(_nearest(x, ixs[model].centroids), s.shape)
+                if model in best:
+                    s, own = np.hstack([best[model][0], s]), np.hstack([best[model][1], own])
+                top = np.argsort(-s, axis=1)[:, :k]
+                best[model] = np.take_along_axis(s, top, 1), np.take_along_axis(own, top, 1)
+        for model, (s, own) in best.items():
+            yield pd.DataFrame({"model": model, "q": np.repeat(np.arange(len(s)), s.shape[1]), "list": own.ravel(), "cosine": s.ravel()})
+
+    w = W.partitionBy("model", "q").orderBy(F.desc("cosine"))
+    true = points.mapInPandas(run, "model string, q long, list long, cosine double").withColumn("rn", F.row_number().over(w))
+    true = true.filter((F.col("rn") <= k) & (F.col("cosine") >= least)).toPandas()
+    out = dict.fromkeys(fits, probes)
+    for model, g in true.groupby("model"):
+        near = _near(queries[model][1], fits[model])[g["q"].to_numpy()]
+        places = (near >= np.take_along_axis(near, g["list"].to_numpy()[:, None], 1)).sum(1)
+        out[model] = max(probes, int(np.quantile(places, COVER, method="inverted_cdf")))
+    return out
 
 
 def neighbours(rows: DataFrame, k: int = K, least: float = -1.0, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
     """(model, entity_id, other_id, cosine): up to k most similar others of each entity within
-    its model, with a cosine of at least `least`."""
+    its model, with a cosine of at least `least`; at least `probes` lists are visited for each."""
     spark = rows.sparkSession
     out = "model string, q string, c string, cosine double"
     # copies: members keeps each entity's group, firsts the k+1 least ids of each group
@@ -184,20 +236,21 @@ def neighbours(rows: DataFrame, k: int = K, least: float = -1.0, probes: int = P
     counts = {r["model"]: r["count"] for r in points.groupBy("model").count().collect()}
     if not counts:
         return spark.createDataFrame([], out.replace("q string, c", "entity_id string, other_id"))
-    fits = _fitted(points, counts)
+    fits, queries = _fitted(points, counts)
     points = points.filter(F.col("model").isin(list(fits)))
     shared = spark.sparkContext.broadcast(fits)
-    spread = points.mapInPandas(_assign(shared, probes), "model string, list int, base boolean, entity_id string, x binary, codes binary")
+    visits = _measured(points, fits, queries, k, least, probes)
+    spread = points.mapInPandas(_assign(shared, visits), "model string, bin int, base boolean, entity_id string, x binary, lists binary, codes binary")
     spread = cut(spread)
-    lens = spread.groupBy("model", "list").agg(F.count_if("base").alias("n"), F.count_if(~F.col("base")).alias("m"))
-    cuts = lens.select("model", "list", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / CHUNK).cast("int").alias("nq"))
-    cuts = cuts.filter("nb > 0 and nq > 0")  # a row per list: at most LISTS a model
+    lens = spread.groupBy("model", "bin").agg(F.count_if("base").alias("n"), F.count_if(~F.col("base")).alias("m"))
+    cuts = lens.select("model", "bin", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / CHUNK).cast("int").alias("nq"))
+    cuts = cuts.filter("nb > 0 and nq > 0")  # a row per bin: at most LISTS a model
     h = F.xxhash64("entity_id")
-    split = spread.join(F.broadcast(cuts), ["model", "list"])
+    split = spread.join(F.broadcast(cuts), ["model", "bin"])
     block = F.when(F.col("base"), F.array(F.pmod(h, F.col("nb")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
     chunk = F.when(F.col("base"), F.sequence(F.lit(0), F.col("nq") - 1)).otherwise(F.array(F.pmod(h, F.col("nq")).cast("int")))
     split = split.withColumn("i", F.explode(block)).withColumn("j", F.explode(chunk)).drop("nb", "nq")
-    found = split.groupBy("model", "list", "i", "j").applyInPandas(_search(shared, k, least, rerank), out)
+    found = split.groupBy("model", "bin", "i", "j").applyInPandas(_search(shared, k, least, rerank), out)
     best = W.partitionBy("model", "q").orderBy(F.desc("cosine"), "c")
     top = cut(found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).drop("rn"))
     out = _expanded(every, firsts, top, k, least)
