@@ -66,6 +66,20 @@ def test_scan_text(spark):
     assert SC.paragraphs(pages(spark).limit(0)).count() == 0
 
 
+def test_paragraphs_over_several_pages(spark, monkeypatch):
+    parts = [
+        (1, 1, 0, "Alpha begins."), (1, 1, 1, "one goes on to"), (1, 2, 0, "two which goes on to the lan-"), (1, 3, 0, "tern and three and on"), (1, 4, 0, "four ends."), (1, 4, 1, "Five is open and"),
+        (1, 6, 0, "six follows a gap and"), (1, 7, 0, "seven goes"), (2, 1, 0, "other goes on"), (2, 2, 0, "and ends."), (2, 3, 0, "New."),
+    ]
+    read = spark.createDataFrame([(uid(e), p, 10 * e + p, 0.9, k, t) for e, p, k, t in parts], "entity_id string, page_no int, ocr_id bigint, conf double, paragraph int, text string")
+    monkeypatch.setattr(SC, "read_pages", lambda rows, output: read)
+    got = {(r["entity_id"], r["page_no"], r["paragraph"]): r["text"] for r in SC.paragraphs(read).collect()}
+    assert got == {
+        (uid(1), 1, 0): "Alpha begins.", (uid(1), 1, 1): "one goes on to two which goes on to the lantern and three and on four ends.", (uid(1), 4, 1): "Five is open and",
+        (uid(1), 6, 0): "six follows a gap and seven goes", (uid(2), 1, 0): "other goes on and ends.", (uid(2), 3, 0): "New.",
+    }
+
+
 def test_page_numbers():
     for s, n in (("12", 12), ("- 23 -", 23), ("~ 4 ~", 4), ("[7]", 7), ("Page 9", 9), ("Pagc 24", 24), ("p. 3", 3), ("Seite 24", 24), ("Página 31", 31), ("9 / 26", 9), ("xiv", 14), ("", None), ("outline  56", None), ("52.7", None), ("5. Valve Haxvaru", None), ("mix", None)):
         assert SC.page_number(s) == n or s == "mix", s
