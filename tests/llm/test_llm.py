@@ -140,6 +140,32 @@ def test_sessions_split_at_gaps_over_partitions(spark):
     assert CV.sessions(CV.messages(talk(spark, rows))).collect()[0]["n"] == 1000
 
 
+def test_roles_and_gap_across_seams(spark):
+    """One hot channel over several partitions gives what one partition gives."""
+    rng = random.Random(4)
+    roles = [-1] * 150 + [2] + [-1] * 301 + [0] + [rng.choice([-1, -1, 0, 1, 2]) for _ in range(147)]
+    ids = [uid(k) for k in range(600)]
+    rows = [("hot", T + timedelta(seconds=100 * k), ids[k], r, True) for k, r in enumerate(roles)] + [("other", T, uid(900), -1, True)]
+    msgs = spark.createDataFrame(rows, "channel string, at timestamp, message_id string, role int, has_text boolean")
+    expected, last = {}, 2
+    for k, r in enumerate(roles):
+        r = 3 - last if r < 0 else r
+        last = r or last
+        expected[ids[k]] = r
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (2, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert CV.ordered(msgs).select("channel", CV.F.spark_partition_id().alias("p")).filter("channel = 'hot'").distinct().count() > 1
+            got = {r["message_id"]: r["role"] for r in CV.with_roles(msgs).collect()}
+            assert got == expected | {uid(900): 1}
+        two = spark.createDataFrame([("c", T + timedelta(seconds=s), uid(k), 1, True) for k, s in enumerate((0, 10))], msgs.schema)
+        spark.conf.set("spark.sql.shuffle.partitions", 2)
+        assert CV.calibrated_gap(two, 1.0, 0.0) == 10
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 # --- 5 ---------------------------------------------------------------------------------------
 def test_groups(spark):
     rng = random.Random(4)

@@ -5,7 +5,7 @@ all partitions, so a channel of any size is spread over several tasks; each task
 summary per channel, and the few summaries of a channel (one per partition it touches) are
 stitched: positions by prefix sums, turns and gaps across the seam by the ends of the runs. Within a channel,
 sessions split at inactivity gaps longer than a limit, which may be calibrated from the
-distribution of gaps. Unknown roles can be inferred from the turn before. Sessions without
+distribution of gaps. Unknown roles can be inferred from the turn before, across seams by the last turn of the earlier runs. Sessions without
 reciprocal replies are dropped.
 
 Defined results: a message without conversation id counts nowhere; of several rows of
@@ -149,37 +149,72 @@ def conversations(details: DataFrame, rows: DataFrame) -> DataFrame:
 
 def calibrated_gap(msgs: DataFrame, factor: float = GAP_FACTOR, least: float = GAP_LEAST_S) -> float:
     """A gap limit from the data: factor times the median gap between neighbours of a channel,
-    at least `least` seconds. The gaps come from the sorted runs, all of them."""
+    at least `least` seconds. The gaps come from the sorted runs, all of them: those across a seam
+    from the ends of the runs, a row for each partition."""
     def gaps(batches):
-        last = None
+        from pyspark import TaskContext
+
+        first = last = None
         for b in batches:
             t = b["at_s"].to_numpy(float)
             c = b["channel"].to_numpy()
             if len(t):
                 prior = np.r_[np.nan if last is None or last[0] != c[0] else last[1], np.where(c[1:] == c[:-1], t[:-1], np.nan)]
                 g = t - prior
-                yield pd.DataFrame({"gap": g[~np.isnan(g)]})
-                last = (c[-1], t[-1])
-    g = ordered(msgs).select("channel", F.col("at").cast("double").alias("at_s")).mapInPandas(gaps, "gap double")
-    median = g.agg(F.percentile_approx("gap", 0.5)).first()[0]
+                g = g[~np.isnan(g)]
+                yield pd.DataFrame({c: g if c == "gap" else np.full(len(g), None, object) for c in names})
+                first, last = first or (c[0], t[0]), (c[-1], t[-1])
+        if last:
+            yield pd.DataFrame([(np.nan, TaskContext.get().partitionId(), *first, *last)], columns=names, dtype=object)
+
+    schema = "gap double, part double, c1 string, t1 double, c2 string, t2 double"
+    names = [c.split()[0] for c in schema.split(", ")]
+    g = cut(ordered(msgs).select("channel", F.col("at").cast("double").alias("at_s")).mapInPandas(gaps, schema))
+    ends = g.filter("c1 is not null").orderBy("part").collect()  # a row per partition
+    seams = [(n["t1"] - e["t2"],) for e, n in zip(ends, ends[1:]) if n["c1"] == e["c2"] and n["t1"] is not None and e["t2"] is not None]
+    inner = g.filter("c1 is null").select("gap").union(msgs.sparkSession.createDataFrame(seams, "gap double")).filter("gap is not null and not isnan(gap)")
+    median = inner.agg(F.percentile_approx("gap", 0.5)).first()[0]
     return max(least, factor * (median or 0.0))
 
 
 def inferred_roles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Role codes with the unknown ones set to the other side of the turn before; the first of
-    a run opens as user. Batches of one partition continue one another."""
-    channel, last = None, 2
+    a run opens as user. Batches of one partition continue one another. leading: unknown
+    ones with no known turn before them in the run."""
+    channel, last, known = None, 2, False
     for b in batches:
-        out = []
+        out, leading = [], []
         for c, r in zip(b["channel"], b["role"], strict=True):
             if c != channel:
-                channel, last = c, 2
+                channel, last, known = c, 2, False
+            leading.append(r < 0 and not known)
+            known = known or r > 0
             if r < 0:
                 r = 3 - last
             if r > 0:
                 last = r
             out.append(r)
-        yield b.assign(role=np.array(out, dtype="int32"))
+        yield b.assign(role=np.array(out, dtype="int32"), leading=np.array(leading, dtype=bool))
+
+
+def with_roles(msgs: DataFrame) -> DataFrame:
+    """channel, at, message_id, role, has_text with unknown roles inferred over all partitions.
+
+    A run in which a role is known ends in a turn of its own; one of unknown roles only turns
+    what comes in once for each. The leading unknown ones of a run were set as if assistant came
+    in, and are turned if it is user."""
+    slim = ordered(msgs).select("channel", "at", "message_id", "role", "has_text", F.spark_partition_id().alias("part"))
+    run = cut(slim.mapInPandas(inferred_roles, "channel string, at timestamp, message_id string, role int, has_text boolean, part int, leading boolean"))
+    own = (F.col("role") > 0) & ~F.col("leading")
+    ends = run.groupBy("channel", "part").agg(F.count_if("leading").alias("turns"), F.max_by("role", F.when(own, F.struct("at", "message_id"))).alias("tail"))
+    w = W.partitionBy("channel").orderBy("part")
+    ends = ends.withColumn("turned", F.sum(F.when(F.col("tail").isNull(), F.col("turns")).otherwise(0)).over(w))
+    before = w.rowsBetween(W.unboundedPreceding, -1)
+    known = F.coalesce(F.last(F.when(F.col("tail").isNotNull(), F.struct("tail", "turned")), True).over(before), F.struct(F.lit(2).alias("tail"), F.lit(0).cast("bigint").alias("turned")))
+    ends = ends.withColumn("known", known).withColumn("since", F.coalesce(F.last("turned").over(before), F.lit(0)) - F.col("known.turned"))
+    flip = ends.select("channel", "part", ((F.col("known.tail") == 1) != (F.col("since") % 2 == 1)).alias("flip"))
+    role = F.when(F.col("leading") & F.col("flip"), 3 - F.col("role")).otherwise(F.col("role"))
+    return run.join(flip, ["channel", "part"]).select("channel", "at", "message_id", role.alias("role"), "has_text")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -193,8 +228,7 @@ def p3_conversations(spark: SparkSession, d: str) -> DataFrame:
 def p3_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions split at calibrated gaps, with inferred roles, and whether each is kept."""
     msgs = messages(table(spark, d, "message_details"))
-    roles = ordered(msgs).select("channel", "at", "message_id", "role", "has_text").mapInPandas(inferred_roles, "channel string, at timestamp, message_id string, role int, has_text boolean")
-    s = sessions(roles, calibrated_gap(msgs))
+    s = sessions(with_roles(msgs), calibrated_gap(msgs))
     return s.select("channel", "session", "n", "turns", "bad", "breaks", (reciprocal() & (F.col("bad") == 0)).alias("kept"))
 
 
