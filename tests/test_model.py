@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import zipfile
 from datetime import datetime
 
@@ -112,6 +113,28 @@ def test_similarity(spark):
     assert one(meta) == 1 and one(X.composite(F.lit(1.0), F.lit(0.5), F.lit(0.5), F.lit(0.5))) == pytest.approx(0.70)
 
 
+def test_near_titles_are_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(RS, "TILE", 40)
+    rng = random.Random(6)
+    words = ["harbour", "ledger", "lantern", "narrow", "note", "valve", "zürich", "copper"]
+    titles = sorted({" ".join(rng.choice(words) for _ in range(rng.randrange(2, 4))) for _ in range(130)})
+    titles = [t for t in titles if len(t.encode()) >= 10]
+    df = spark.createDataFrame([(k, t) for t in titles for k in ("x", "x", "y")] + [(None, titles[0]), ("x", "short")], "entity_type string, norm string")
+    def least(a, b):
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a):
+            new = [i + 1]
+            for j, q in enumerate(b):
+                new.append(min(row[j] + (p != q), row[j + 1] + 1, new[j] + 1))
+            row = new
+        return max(X.jaro_winkler(a, b), 1 - row[-1] / max(len(a.encode()), len(b.encode())))
+    scores = {(a, b): least(a, b) for a in titles for b in titles if a < b}
+    for threshold in (0.6, 0.9):
+        got = [tuple(r)[:3] for r in RS.near_titles(df, threshold, {"y": 0.8}).collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == {(k, *p) for k, f in (("x", threshold), ("y", 0.8)) for p, s in scores.items() if s >= f}
+
+
 def test_resolution(spark):
     t = spark.createDataFrame([("1", "Person", "Johnathan Smith"), ("2", "Person", "Jonathan Smith"), ("3", "Article", "Hello World"), ("4", "Article", "hello  world!"), ("5", "Article", "Hello World"), ("6", "Note", "Hello World"), ("7", "Article", "Doc A"), ("8", "Article", "Doc B")], "id string, entity_type string, title string")
     t = t.withColumn("norm", X.normalize_title(F.col("title"))).withColumns({c: F.lit(None).cast("string") for c in ("content", "lang", "day")}).withColumn("size", F.lit(None).cast("bigint"))

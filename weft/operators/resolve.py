@@ -1,12 +1,16 @@
 """Entity resolution.
 
 Equal and normalised-equal titles are classes, found by grouping: one row per entity with its
-class's least id, no pairs. Near titles are searched among class representatives only, within
-blocks that share the type and the beginning or the end of the normalised title; a block's titles
-are distinct, so copies never meet in pairs."""
+class's least id, no pairs. Near titles are searched among class representatives only: all pairs
+of a type are compared in tiles by an upper bound of the similarity from the letters two titles
+have in common, and those it admits are scored, so no pair is lost and copies never meet in pairs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -14,7 +18,11 @@ from pyspark.sql import Window as W
 from weft.functions import similarity as X
 from weft.functions.keys import entity_key
 
-AUTO, REVIEW, THRESHOLD, COMPOSITE, EDGE = 0.92, 0.78, 0.95, 0.78, 6
+AUTO, REVIEW, THRESHOLD, COMPOSITE = 0.92, 0.78, 0.95, 0.78
+#: Letters of an edge of a title in the blocks of the registered SQL; near_titles has no blocks.
+EDGE = 6
+#: Titles on a side of a tile, and of a step within one.
+TILE, STEP = 4_096, 512
 
 
 def titled(flat: DataFrame) -> DataFrame:
@@ -29,15 +37,62 @@ def classes(t: DataFrame, key: str) -> DataFrame:
     return t.join(groups, ["entity_type", key]).filter("id != canonical_id").select("id", "canonical_id", F.lit(1.0 if key == "title" else 0.95).alias("confidence"))
 
 
+def _letters(titles: list[str]) -> tuple[np.ndarray, ...]:
+    """Counts of letters (those of equal code modulo 32 as one), lengths in characters and bytes, first four characters."""
+    bags, first = np.zeros((len(titles), 32), np.uint16), np.full((len(titles), 4), -1)
+    for k, t in enumerate(titles):
+        codes = np.fromiter(map(ord, t), np.int64, len(t))
+        bags[k] = np.minimum(np.bincount(codes % 32, minlength=32), 65_535)
+        first[k, : min(4, len(t))] = codes[:4]
+    return bags, np.array([len(t) for t in titles], float), np.array([len(t.encode()) for t in titles], float), first
+
+
+def similarity_bound(x: tuple, y: tuple) -> np.ndarray:
+    """At least the better of Jaro-Winkler and Levenshtein similarity of each title of x with each of y.
+
+    With c letters in common at most c characters match, and at least the longer length less c are edited."""
+    (bx, lx, ox, fx), (by, ly, oy, fy) = x, y
+    c = np.zeros((len(lx), len(ly)))
+    for k in range(bx.shape[1]):
+        c += np.minimum(bx[:, k, None], by[None, :, k])
+    # a bag holds at most 65,535 of a letter: longer titles are bounded by their lengths alone
+    c = np.where(np.maximum(lx[:, None], ly) > 65_535, np.minimum(lx[:, None], ly), c)
+    jaro = np.where(c > 0, (c / lx[:, None] + c / ly + 1) / 3, 0.0)
+    prefix = np.cumprod((fx[:, None] == fy) & (fx[:, None] >= 0), axis=2).sum(2)
+    winkler = np.where(jaro > 0.7, jaro + 0.1 * prefix * (1 - jaro), jaro)
+    return np.maximum(winkler, 1 - (np.maximum(lx[:, None], ly) - c) / np.maximum(ox[:, None], oy))
+
+
+def _admitted(threshold: float, thresholds: dict[str, float]) -> Callable:
+    """The pairs of one tile that may reach the threshold."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        kind, i, j = g["entity_type"].iloc[0], g["i"].iloc[0], g["j"].iloc[0]
+        rows, columns = ([t for t, n in zip(g["norm"], g["own"], strict=True) if n == side] for side in (i, j))
+        least = thresholds.get(kind, threshold) - 1e-9
+        a, b = [], []
+        for p in range(0, len(rows), STEP):
+            x = _letters(rows[p : p + STEP])
+            for q in range(0, len(columns), STEP):
+                for m, n in np.argwhere(similarity_bound(x, _letters(columns[q : q + STEP])) >= least):
+                    s, t = rows[p + m], columns[q + n]
+                    if s != t and (i != j or s < t):
+                        a.append(min(s, t))
+                        b.append(max(s, t))
+        return pd.DataFrame({"entity_type": np.full(len(a), kind, object), "a": np.array(a, object), "b": np.array(b, object)})
+
+    return run
+
+
 def near_titles(t: DataFrame, threshold: float = THRESHOLD, thresholds: dict[str, float] | None = None) -> DataFrame:
     """(entity_type, a, b, confidence) of distinct normalised titles, a < b, both of
     at least 10 bytes, whose better of Jaro-Winkler and Levenshtein similarity reaches the threshold."""
-    d = t.select("entity_type", "norm").filter(F.octet_length("norm") >= 10).distinct()
-    keys = F.explode(F.array(F.concat(F.lit("<"), F.substring("norm", 1, EDGE)), F.concat(F.lit(">"), F.substring(F.reverse("norm"), 1, EDGE)))).alias("block")
-    b = d.select("entity_type", "norm", keys)
-    pairs = b.alias("x").join(b.alias("y"), ["entity_type", "block"]).filter(F.col("x.norm") < F.col("y.norm"))
-    # lengths too far apart cannot reach the threshold by either measure's bound
-    pairs = pairs.select("entity_type", F.col("x.norm").alias("a"), F.col("y.norm").alias("b")).distinct()
+    d = t.select("entity_type", "norm").filter((F.octet_length("norm") >= 10) & F.col("entity_type").isNotNull()).distinct()
+    sizes = d.groupBy("entity_type").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))  # a row per type
+    d = d.join(F.broadcast(sizes), "entity_type").withColumn("own", F.pmod(F.xxhash64("norm"), F.col("tiles")).cast("int"))
+    other = d.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tiled = other.select("entity_type", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "norm")
+    pairs = tiled.groupBy("entity_type", "i", "j").applyInPandas(_admitted(threshold, thresholds or {}), "entity_type string, a string, b string")
     score = F.greatest(X.jaro_winkler_udf("a", "b"), X.levenshtein_similarity(F.col("a"), F.col("b")))
     least = F.lit(threshold)
     for k, v in (thresholds or {}).items():
