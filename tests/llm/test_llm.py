@@ -335,3 +335,8 @@ def test_registry():
 
     names = list(itertools.chain.from_iterable(m.QUERIES for m in llm.query_modules()))
     assert {f"p{n}_found" for n in (1, 3, 5, 6, 8)} | {"p9_mixture", "p10_pieces"} <= set(names)
+
+
+def test_blank_pages_only(spark):
+    blank = pages(spark).filter("ocr_id in (5, 6)")
+    assert SC.read_pages(blank, "noise").count() == 0 and SC.paragraphs(blank).count() == 0

@@ -139,7 +139,7 @@ def _search(indexes: dict, k: int, least: float, rerank: int):
         model = g["model"].iloc[0]
         base, query = g[g["base"]], g[~g["base"]]
         if base.empty or query.empty:
-            return pd.DataFrame({"model": [], "q": [], "c": [], "cosine": []})
+            return pd.DataFrame({"model": np.array([], object), "q": np.array([], object), "c": np.array([], object), "cosine": np.array([], float)})
         ix = indexes.value[model]
         x = np.frombuffer(b"".join(base["x"]), np.float32).reshape(len(base), -1)
         codes = np.frombuffer(b"".join(base["codes"]), np.uint8).reshape(len(base), -1)
