@@ -27,6 +27,29 @@ def test_orphans(spark):
     assert got == {("source_id", "r3", "deleted"), ("source_id", "r4", "later"), ("source_id", "r6", "missing"), ("source_id", "r7", "no_key"), ("source_id", "r8", "no_key")}
 
 
+def test_signed_deltas(spark):
+    refs = spark.createDataFrame([("t", "f", f"r{k}", T, (A, B, D)[k % 3]) for k in range(9)] + [("t", "f", "r9", T, None)], "table_name string, field_name string, record_id string, at timestamp, key string")
+    ents = spark.createDataFrame([(k, "x", True, T, T, 1, None) for k in (A, B)], ENT)
+    state = O.key_state(O.reference_deltas(refs), O.record_deltas(ents))
+    assert {tuple(r) for r in O.orphan_keys(state).collect()} == {(D, 3)}
+    # references withdrawn, a record removed, another arriving late: the same counts as from scratch
+    gone, late = refs.filter("record_id in ('r0', 'r2', 'r5')"), spark.createDataFrame([(D, "x", True, T, T, 1, None)], ENT)
+    later = O.key_state(state, O.reference_deltas(gone, -1), O.record_deltas(ents.filter(f"id = '{B}'"), -1), O.record_deltas(late))
+    fresh = O.key_state(O.reference_deltas(refs.exceptAll(gone)), O.record_deltas(ents.filter(f"id = '{A}'").union(late)))
+    counts = ["key", "refs", "existence"]
+    assert {tuple(r) for r in later.select(counts).collect()} - {(B, 3, 0)} == {tuple(r) for r in fresh.select(counts).collect()} - {(B, 3, 0)}
+    assert {tuple(r) for r in O.orphan_keys(later).collect()} == {(B, 3)}
+    assert O.orphan_keys(O.key_state(state, O.reference_deltas(refs, -1))).count() == 0
+
+
+def test_link_kinds(spark):
+    links = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("e", "d"), ("x", "y"), ("y", "x"), ("y", "z"), (None, "q"), ("a", "b")]
+    df = spark.createDataFrame(links, "parent string, child string")
+    got = {tuple(r) for r in H.link_kinds(df).collect()}
+    assert got == {("a", "b", "tree"), ("b", "c", "tree"), ("c", "d", "tree"), ("d", "b", "back"), ("e", "d", "cross"), ("x", "y", "cycle"), ("y", "x", "back"), ("y", "z", "cycle")}
+    assert H.link_kinds(df.limit(0)).count() == 0
+
+
 def test_orphans_hot_key_and_empty(spark):
     e = spark.createDataFrame([(A, "x", True, T + timedelta(1), T, 1, None)], ENT)
     r = spark.createDataFrame([(f"r{k}", A if k % 3 else D, None, T, 0) for k in range(3000)], REL)
@@ -93,12 +116,13 @@ def test_hierarchy_is_the_same_whatever_the_bound(spark):
     links = [(f"t{rng.randrange(k):02d}", f"t{k:02d}") for k in range(1, 60)] + [(f"c{k:02d}", f"c{k + 1:02d}") for k in range(21)]
     links += [("p", "q"), ("q", "r"), ("r", "p"), ("r", "s"), ("s", "u"), ("x", "x"), ("x", "y"), ("y", "z"), ("y", "w")]
     df = spark.createDataFrame(links, "parent string, child string")
-    names = ["node_id", "root_id", "depth", "parent_id", "path", "descendants", "on_cycle"]
+    names = ["node_id", "root_id", "depth", "parent_id", "path", "descendants", "on_cycle", "back_edge"]
     whole, doubled = ({tuple(r[n] for n in names) for r in H.hierarchy(df, bound).collect()} for bound in (1000, 1))
     assert doubled == whole and len(whole) == 60 + 22 + 5 + 4
     assert {r[0] for r in doubled if r[6]} == {"p", "q", "r", "x"}
+    assert {r[0] for r in doubled if r[7]} == {"p", "x"}
     slim = [{tuple(r) for r in H.hierarchy(df, bound, paths=False).collect()} for bound in (1000, 1)]
-    assert slim[0] == slim[1] == {(*r[:4], r[6]) for r in whole}
+    assert slim[0] == slim[1] == {(*r[:4], *r[6:]) for r in whole}
 
 
 def test_ancestors_and_empty(spark):

@@ -70,3 +70,16 @@ def test_empty_and_repeated(spark, catalog):
 def test_long_text(spark, catalog):
     long = "word " * 200_000
     assert len(W.wide_table(rows(spark, (E1, "Title", f'"{long}"', 1)), catalog).first()["title"]) == len(long)
+
+
+def test_runs_by_batch(spark, catalog):
+    """Several runs compacted give what one run gives, for values and for cells without one."""
+    kinds = W.catalog_rows(catalog)
+    months = "timestamp_seconds(1704067200 + version * 2000000)"
+    data = rows(spark, *[(e, t, d, v) for v, (t, d) in enumerate(GOOD + BAD) for e in (E1, E2)]).selectExpr("id", "entity_id", "component_type", "data", f"if(version = 3, null, {months}) created_at", "version")
+    data = data.union(rows(spark, (E1[:-1] + "9", "Tags", "[]", 1)).drop("title"))
+    runs = W.sparse_deltas(data, kinds, batch=W.month_of(data.created_at))
+    assert runs.select("run").distinct().count() > 5
+    assert sorted(map(str, W.wide_table(data, catalog, W.month_of(data.created_at)).collect())) == sorted(map(str, W.wide_table(data, catalog).collect()))
+    got = {tuple(r) for r in W.unreadable(data, catalog, W.month_of(data.created_at)).collect()}
+    assert got == {tuple(r) for r in W.unreadable(data, catalog).collect()} == {(E1[:-1] + "9", "Tags")}

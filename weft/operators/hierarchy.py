@@ -2,15 +2,18 @@
 
 Connected components are found first (star contraction). Every component up to `bound` nodes
 is co-located in one task and traversed by an iterative depth-first search with node colours
-(white, grey, black; an edge to a grey node is a back edge, so its nodes are in a cycle). A
+(white, grey, black; an edge to a grey node is a back edge, and the walk from there is a cycle). A
 component larger than the bound is never collected: its nodes find root and depth by pointer
 doubling in distributed joins, the nodes reached from unended walks of more steps than there
 are nodes are the cycles, and outside cycles path and descendants are doubled likewise, which
 gives the same rows.
 
 Defined results: links with a null end are dropped; repeated links count once; if a node has
-several parents the least of them holds; a node linked to itself, a node on a cycle and every
-node below one has root 'cycle' and depth -1 and no path; an empty table gives no rows.
+several parents the least of them holds, and link_kinds tells what the other links are; a node
+linked to itself, a node on a cycle and every node below one has root 'cycle' and depth -1 and no
+path; the back edge of a cycle is the link to its least node; an empty table gives no rows. The
+descendants of a node are the nodes whose path begins with its path and a slash, so a sorted table
+answers for one node by a range; ancestors lists them all as pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from weft.session import cut, release
 #: Most nodes of a component that one task traverses.
 BOUND = 50_000
 CYCLE = "cycle"
-_OUT = "node_id string, root_id string, depth int, parent_id string, path string, descendants bigint, on_cycle boolean"
+_OUT = "node_id string, root_id string, depth int, parent_id string, path string, descendants bigint, on_cycle boolean, back_edge boolean"
 
 
 def parents(links: DataFrame) -> DataFrame:
@@ -40,44 +43,49 @@ def parents(links: DataFrame) -> DataFrame:
 
 def traverse(node: list[str], parent: list, paths: bool = True) -> Iterator[tuple]:
     """Depth-first from the roots; a node's row is made when it turns black, from the path
-    then on the stack. What is left over is in or below a cycle."""
+    then on the stack. What the roots do not reach is in or below a cycle and is walked in order
+    of id: a cycle is entered at its least node, and the link that comes back to it is a back edge."""
     below: dict = {}
     up = dict(zip(node, parent, strict=True))
     for n, p in up.items():
         below.setdefault(p, []).append(n)
+    grey, black = 1, 2
     colour: dict = {}
     size: dict = {}
-    for root in below.get(None, []):
-        stack, path = [(root, iter(sorted(below.get(root, ()))))], [root]
-        colour[root], size[root] = 1, 0
+    ring: set = set()
+    back: set = set()
+
+    def walk(start: str) -> Iterator[tuple[str, list[str]]]:
+        stack, path = [(start, iter(sorted(below.get(start, ()))))], [start]
+        colour[start], size[start] = grey, 0
         while stack:
             at, rest = stack[-1]
             child = next(rest, None)
             if child is None:
-                colour[at] = 2
-                yield at, root, len(path) - 1, up[at], "/" + "/".join(path) if paths else None, size[at], False
+                colour[at] = black
+                yield at, path
                 stack.pop()
                 path.pop()
                 if stack:
                     size[stack[-1][0]] += size.pop(at) + 1
             elif child not in colour:
-                colour[child], size[child] = 1, 0
+                colour[child], size[child] = grey, 0
                 path.append(child)
                 stack.append((child, iter(sorted(below.get(child, ())))))
-    left = [n for n in up if n not in colour]
-    ring: set = set()
-    for n in left:  # grey while on the current walk; meeting grey again closes a cycle
-        walk = []
-        while n not in colour:
-            colour[n] = 1
-            walk.append(n)
-            n = up[n]
-        if colour[n] == 1:
-            ring.update(walk[walk.index(n) :])
-        for w in walk:
-            colour[w] = 2
+            elif colour[child] == grey:
+                back.add(child)
+                ring.update(path[path.index(child) :])
+
+    for root in below.get(None, []):
+        for at, path in walk(root):
+            yield at, root, len(path) - 1, up[at], "/" + "/".join(path) if paths else None, size[at], False, False
+    left = sorted(n for n in up if n not in colour)
+    for n in left:
+        if n not in colour:
+            for _ in walk(n):
+                pass
     for n in left:
-        yield n, CYCLE, -1, up[n], None, None, n in ring
+        yield n, CYCLE, -1, up[n], None, None, n in ring, n in back
 
 
 def _framed(rows: list[tuple]) -> pd.DataFrame:
@@ -112,19 +120,21 @@ def _small(paths: bool) -> Callable:
 
 
 def doubled(up: DataFrame) -> DataFrame:
-    """(node, root, depth, parent, on_cycle) by pointer doubling; nodes that never end have root null."""
-    # far: the node reached after `hops` steps, or the root once that is reached
-    now = cut(up.select("node", F.coalesce("parent", "node").alias("far"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("hops"), F.col("parent").isNull().alias("done")))
+    """(node, root, depth, parent, on_cycle, back_edge) by pointer doubling; nodes that never end have root null."""
+    # far: the node reached after `hops` steps, or the root once that is reached; low: the least node on the way there
+    now = cut(up.select("node", F.coalesce("parent", "node").alias("far"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("hops"), F.col("parent").isNull().alias("done"), F.col("node").alias("low")))
     reach, total = 1, now.count()
     while reach <= total and not now.filter("not done").isEmpty():
-        far = now.select(F.col("node").alias("far"), F.col("far").alias("f2"), F.col("hops").alias("h2"), F.col("done").alias("d2"))
-        open_ = now.filter("not done").join(far, "far").select("node", F.col("f2").alias("far"), (F.col("hops") + F.col("h2")).alias("hops"), F.col("d2").alias("done"))
-        now = cut(now.filter("done").unionByName(open_))
+        far = now.select(F.col("node").alias("far"), F.col("far").alias("f2"), F.col("hops").alias("h2"), F.col("done").alias("d2"), F.col("low").alias("l2"))
+        open_ = now.filter("not done").join(far, "far").select("node", F.col("f2").alias("far"), (F.col("hops") + F.col("h2")).alias("hops"), F.col("d2").alias("done"), F.least("low", "l2").alias("low"))
+        before, now = now, cut(now.filter("done").unionByName(open_))
+        release(before)
         reach *= 2
     # a walk that has not ended after more steps than nodes stands on a cycle, and every node of a cycle is stood on
     ring = now.filter("not done").select(F.col("far").alias("node")).distinct().withColumn("ring", F.lit(True))
-    ended = now.select("node", F.when(F.col("done"), F.col("far")).alias("root"), F.when(F.col("done"), F.col("hops")).alias("depth"))
-    return ended.join(up, "node").join(ring, "node", "left").withColumn("on_cycle", F.col("ring").isNotNull()).drop("ring")
+    ended = now.select("node", F.when(F.col("done"), F.col("far")).alias("root"), F.when(F.col("done"), F.col("hops")).alias("depth"), "low")
+    out = ended.join(up, "node").join(ring, "node", "left").withColumn("on_cycle", F.col("ring").isNotNull())
+    return out.withColumn("back_edge", F.col("on_cycle") & (F.col("low") == F.col("node"))).drop("ring", "low")
 
 
 def laid(up: DataFrame) -> DataFrame:
@@ -147,7 +157,7 @@ def laid(up: DataFrame) -> DataFrame:
 
 
 def hierarchy(links: DataFrame, bound: int = BOUND, paths: bool = True, uuids: bool = False) -> DataFrame:
-    """node_id, root_id, depth, parent_id, path, descendants, on_cycle for each node of links
+    """node_id, root_id, depth, parent_id, path, descendants, on_cycle, back_edge for each node of links
     (columns parent, child; uuids: canonical UUIDs), the same whatever the bound; without path
     and descendants if paths is false."""
     up = cut(parents(links))
@@ -169,11 +179,26 @@ def hierarchy(links: DataFrame, bound: int = BOUND, paths: bool = True, uuids: b
             d = d.join(laid(d.filter("root is not null").select("node", "parent")), "node", "left")
         out = out.unionByName(d.select(
             F.col("node").alias("node_id"), F.coalesce("root", F.lit(CYCLE)).alias("root_id"), F.coalesce(F.col("depth").cast("int"), F.lit(-1)).alias("depth"),
-            F.col("parent").alias("parent_id"), *(["path", "descendants"] if paths else []), "on_cycle",
+            F.col("parent").alias("parent_id"), *(["path", "descendants"] if paths else []), "on_cycle", "back_edge",
         ))
     return out
 
 
+def link_kinds(links: DataFrame, uuids: bool = False) -> DataFrame:
+    """(parent_id, node_id, kind) for every distinct link: tree if the node's path goes by it, cycle in
+    or below a cycle, back if it closes one, and of the links to a node with several parents that
+    its path does not follow, back if they lead to an ancestor, else cross."""
+    rows = hierarchy(links, uuids=uuids)
+    own = rows.select("node_id", F.col("parent_id").alias("followed"), "back_edge", (F.col("root_id") == CYCLE).alias("cyclic"))
+    over = rows.select(F.col("node_id").alias("parent_id"), F.col("path").alias("way"))
+    each = links.select(F.col("parent").alias("parent_id"), F.col("child").alias("node_id")).filter("parent_id is not null and node_id is not null").distinct()
+    each = each.join(own, "node_id").join(over, "parent_id")
+    above = F.contains(F.concat("way", F.lit("/")), F.concat(F.lit("/"), "node_id", F.lit("/")))
+    followed = F.when(F.col("back_edge"), "back").when(F.col("cyclic"), "cycle").otherwise("tree")
+    kind = F.when(F.col("followed") == F.col("parent_id"), followed).when(F.col("way").isNotNull() & above, "back").otherwise("cross")
+    return each.select("parent_id", "node_id", kind.alias("kind"))
+
+
 def ancestors(links: DataFrame, uuids: bool = False) -> DataFrame:
     """(ancestor, descendant, distance) for every node outside cycles: its full lists of
     ancestors and descendants as rows, by joins that double the distance until none is farther,

@@ -1,11 +1,12 @@
 """References to records that do not exist.
 
 References and records are change deltas: a reference adds 1 to the reference count of the key
-it names (a withdrawn one -1), a record adds 1 to the existence count of its own. Summed
-per key (partial sums before the shuffle) they give the state of each key; keys with a positive reference
-count and no existence are orphans. The state also holds from when to when the record exists
-and the earliest and latest reference, so only keys with a possible violation meet the referring
-rows again.
+it names and a withdrawn one takes 1, a record adds 1 to the existence count of its own and a
+removed one takes 1. Summed per key (partial sums before the shuffle) they give the state of each
+key, and a state is itself a set of deltas, so it is carried on by later ones. Keys with a positive
+reference count and no existence are orphans. The state also holds from when to when the record
+exists and the earliest and latest reference; these only widen, a withdrawal does not narrow them,
+so they choose the keys with a possible violation, whose referring rows then decide.
 
 Defined results: null and blank references count nowhere; a value that is no UUID refers to
 nothing and is an orphan; the nil UUID names no entity; a null created_at of the row leaves only
@@ -41,27 +42,42 @@ def references(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def key_state(refs: DataFrame, entities: DataFrame) -> DataFrame:
-    """Signed counts per key: key, refs, existence, first_at, last_at, born, gone."""
-    one, none, when = F.lit(1).cast("bigint"), F.lit(0).cast("bigint"), F.lit(None).cast("timestamp")
-    up = refs.filter("key is not null").select("key", one.alias("r"), none.alias("x"), "at", when.alias("born"), when.alias("gone"))
-    gone = F.when(~F.col("is_active"), F.col("updated_at"))
-    be = current_entities(entities).select(F.col("id").alias("key"), none.alias("r"), one.alias("x"), when.alias("at"), F.col("created_at").alias("born"), gone.alias("gone"))
-    return up.unionByName(be).groupBy("key").agg(
-        F.sum("r").alias("refs"), F.sum("x").alias("existence"), F.min("at").alias("first_at"),
-        F.max("at").alias("last_at"), F.max("born").alias("born"), F.max("gone").alias("gone"),
+def reference_deltas(refs: DataFrame, sign: int = 1) -> DataFrame:
+    """A delta for each reference with a key: made (+1) or withdrawn (-1)."""
+    when = F.lit(None).cast("timestamp")
+    held = refs.filter("key is not null")
+    return held.select("key", F.lit(sign).cast("bigint").alias("refs"), F.lit(0).cast("bigint").alias("existence"), F.col("at").alias("first_at"), F.col("at").alias("last_at"), when.alias("born"), when.alias("gone"))
+
+
+def record_deltas(entities: DataFrame, sign: int = 1) -> DataFrame:
+    """A delta for each record: there (+1) or removed (-1)."""
+    when, gone = F.lit(None).cast("timestamp"), F.when(~F.col("is_active"), F.col("updated_at"))
+    held = current_entities(entities)
+    return held.select(F.col("id").alias("key"), F.lit(0).cast("bigint").alias("refs"), F.lit(sign).cast("bigint").alias("existence"), when.alias("first_at"), when.alias("last_at"), F.col("created_at").alias("born"), gone.alias("gone"))
+
+
+def key_state(*deltas: DataFrame) -> DataFrame:
+    """Signed counts per key of deltas or earlier states: key, refs, existence, first_at, last_at, born, gone."""
+    return reduce(DataFrame.unionByName, deltas).groupBy("key").agg(
+        F.sum("refs").alias("refs"), F.sum("existence").alias("existence"), F.min("first_at").alias("first_at"),
+        F.max("last_at").alias("last_at"), F.max("born").alias("born"), F.max("gone").alias("gone"),
     )
 
 
+def orphan_keys(state: DataFrame) -> DataFrame:
+    """(key, refs): keys that are referred to and do not exist."""
+    return state.filter("refs > 0 and existence <= 0").select("key", "refs")
+
+
 def orphans(tables: dict[str, tuple[DataFrame, list[str]]], entities: DataFrame) -> DataFrame:
     """(table_name, field_name, record_id, at, reason), one row per reference that does not hold;
     reason is no_key, missing, later or deleted."""
     refs = references(tables)
-    state = cut(key_state(refs, entities))
-    suspect = state.filter("refs > 0 and (existence = 0 or born > first_at or gone < last_at)")
-    total = refs.count()
+    state = cut(key_state(reference_deltas(refs), record_deltas(entities)))
+    suspect = state.filter("refs > 0 and (existence <= 0 or born > first_at or gone < last_at)")
+    total = state.agg(F.sum("refs")).first()[0] or 0
     met = split_join(refs.filter("key is not null"), suspect.select("key", "existence", "born", "gone", "refs"), ["key"], "refs", total, state.select("key", "refs"))
-    reason = F.when(F.col("existence") == 0, "missing").when(F.col("born") > F.col("at"), "later").when(F.col("gone") < F.col("at"), "deleted")
+    reason = F.when(F.col("existence") <= 0, "missing").when(F.col("born") > F.col("at"), "later").when(F.col("gone") < F.col("at"), "deleted")
     held = met.withColumn("reason", reason).filter("reason is not null").drop("key", "existence", "born", "gone")
     bad = refs.filter("key is null").drop("key").withColumn("reason", F.lit("no_key"))
     return held.unionByName(bad).select("table_name", "field_name", "record_id", "at", "reason").distinct()

@@ -7,7 +7,7 @@ the same table, and a merged run can be compacted again with later ones.
 
 Defined results: a row without a readable entity key or with a type the catalog lacks makes no
 cell; a row whose data is null, blank, not strict JSON or without a value of the column's type
-makes an empty cell, which never hides an older readable one; of equal versions the later
+makes a cell without value, which never hides an older readable one; of equal versions the later
 created_at, then the larger row id holds; repeated rows change nothing; an empty table gives no
 rows. Extra columns are ignored. Texts of any length are carried whole.
 """
@@ -63,45 +63,50 @@ def catalog_rows(catalog: DataFrame) -> list:
     return sorted(catalog.select(*cols).distinct().collect(), key=lambda r: r["component_type"])
 
 
-def cells(rows: DataFrame, catalog: list, values: bool = True) -> DataFrame:
-    """(entity_id, component_type, cell): the latest readable value of each cell of a batch.
+def month_of(at: Column) -> Column:
+    """The batch a row belongs to: the month it was made in, 0 if unknown."""
+    return F.coalesce(F.year(at) * 12 + F.month(at), F.lit(0))
 
-    cell is struct(version, created_at, id, value), null where no row has a value. Rows of
-    one cell are combined before the shuffle, so a hot entity costs one row per cell and task.
-    values=False keeps only whether there is a value."""
+
+def cells(rows: DataFrame, catalog: list, values: bool = True, batch: Column | None = None) -> DataFrame:
+    """(entity_id, kind, cell) for each row, and its batch if one is given; kind is the place of
+    the row's type in the catalog.
+
+    cell is struct(has, version, created_at, id, value): has tells whether the row yields a value,
+    and by the order of structs the greatest cell is the latest readable one. values=False leaves
+    the values themselves out."""
     rows = spread(rows.select("entity_id", "component_type", "data", "version", "created_at", "id"))
-    kinds = {r["component_type"].strip().lower(): r for r in catalog}
-    named = F.create_map(*[F.lit(x) for k, r in kinds.items() for x in (k, r["component_type"])])
+    kinds = F.create_map(*[F.lit(x) for k, r in enumerate(catalog) for x in (r["component_type"].strip().lower(), k)])
     base = rows.select(
-        entity_key(F.col("entity_id")).alias("entity_id"),
-        named[enum_key(F.col("component_type"))].alias("component_type"),
-        "data", "version", "created_at", "id",
-    ).filter("entity_id is not null and component_type is not null")
+        entity_key(F.col("entity_id")).alias("entity_id"), kinds[enum_key(F.col("component_type"))].alias("kind"), "data", "version", "created_at", "id",
+    ).filter("entity_id is not null and kind is not null")
     v, whole, sole = strict_json(F.col("data"))
     base = base.withColumn("__v", v)
     base = base.withColumn("__v", F.when(whole & sole, F.col("__v")))
     value = F.lit(None).cast("string")
-    for r in catalog:
+    for k, r in enumerate(catalog):
         found = F.coalesce(*[_value(r["column_type"], p) for p in r["json_paths"]])
-        value = F.when(F.col("component_type") == r["component_type"], found).otherwise(value)
-    if not values:
-        return base.select("entity_id", "component_type", value.isNotNull().alias("x")).groupBy("entity_id", "component_type").agg(F.max("x").alias("has_value"))
-    got = base.select("entity_id", "component_type", "version", "created_at", "id", value.alias("value"))
-    cell = F.when(F.col("value").isNotNull(), F.struct("version", "created_at", "id", "value"))
-    return got.groupBy("entity_id", "component_type").agg(F.max(cell).alias("cell"))
+        value = F.when(F.col("kind") == k, found).otherwise(value)
+    run = [] if batch is None else [batch.alias("run")]
+    got = base.select(*run, "entity_id", "kind", "version", "created_at", "id", value.alias("value"))
+    cell = F.struct(F.col("value").isNotNull().alias("has"), "version", "created_at", "id", *(["value"] if values else []))
+    return got.select(*[c for c in ("run", "entity_id", "kind") if c in got.columns], cell.alias("cell"))
 
 
-def sparse_deltas(rows: DataFrame, catalog: list) -> DataFrame:
-    """One run: a batch as sparse wide rows, entity_id and per catalog column a cell struct."""
-    picked = [F.max(F.when(F.col("component_type") == r["component_type"], F.col("cell"))).alias(r["column_name"]) for r in catalog]
-    return cells(rows, catalog).groupBy("entity_id").agg(*picked)
+def sparse_deltas(rows: DataFrame, catalog: list, values: bool = True, batch: Column | None = None) -> DataFrame:
+    """A run of sparse wide rows: entity_id and per catalog column a cell, null where the batch
+    has no row. With a batch expression, one run for each of its values, told by column run.
+    Rows are combined before the shuffle, so a hot entity costs one row per run and task."""
+    each = cells(rows, catalog, values, batch)
+    picked = [F.max(F.when(F.col("kind") == k, F.col("cell"))).alias(r["column_name"]) for k, r in enumerate(catalog)]
+    return each.groupBy(*[c for c in ("run", "entity_id") if c in each.columns]).agg(*picked)
 
 
 def compact(runs: list[DataFrame]) -> DataFrame:
-    """Several runs as one: the latest version of each cell."""
-    if len(runs) == 1:
+    """Runs (frames, or one frame that holds several) as one: the latest version of each cell."""
+    if len(runs) == 1 and "run" not in runs[0].columns:
         return runs[0]
-    every = reduce(DataFrame.unionByName, runs)
+    every = reduce(DataFrame.unionByName, [r.drop("run") for r in runs])
     return every.groupBy("entity_id").agg(*[F.max(c).alias(c) for c in every.columns if c != "entity_id"])
 
 
@@ -121,12 +126,16 @@ def typed(run: DataFrame, catalog: list) -> DataFrame:
     return run.select(*out)
 
 
-def wide_table(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+def wide_table(rows: DataFrame, catalog: DataFrame, batch: Column | None = None) -> DataFrame:
+    """One typed row per entity, through a run for each batch if one is given."""
     kinds = catalog_rows(catalog)
-    return typed(compact([sparse_deltas(rows, kinds)]), kinds)
+    return typed(compact([sparse_deltas(rows, kinds, True, batch)]), kinds)
 
 
-def unreadable(rows: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(entity_id, component_type): cells that have rows but no readable value."""
-    got = cells(rows, catalog_rows(catalog), values=False)
-    return got.filter(~F.col("has_value")).select("entity_id", "component_type")
+def unreadable(rows: DataFrame, catalog: DataFrame, batch: Column | None = None) -> DataFrame:
+    """(entity_id, component_type): cells of the compacted table that some row has made and none
+    has given a value."""
+    kinds = catalog_rows(catalog)
+    table = compact([sparse_deltas(rows, kinds, False, batch)])
+    empty = F.array_compact(F.array(*[F.when(~F.col(r["column_name"])["has"], r["component_type"]) for r in kinds]))
+    return table.filter(F.size(empty) > 0).select("entity_id", F.explode(empty).alias("component_type"))

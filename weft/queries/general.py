@@ -13,11 +13,11 @@ from weft.session import table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return W.unreadable(table(spark, d, "components"), table(spark, d, "component_catalog"))
+    return W.unreadable(table(spark, d, "components"), table(spark, d, "component_catalog"), W.month_of(F.col("created_at")))
 
 
 def p2_wide(spark: SparkSession, d: str) -> DataFrame:
-    return W.wide_table(table(spark, d, "components"), table(spark, d, "component_catalog"))
+    return W.wide_table(table(spark, d, "components"), table(spark, d, "component_catalog"), W.month_of(F.col("created_at")))
 
 
 def _referring(spark: SparkSession, d: str) -> dict:
@@ -52,7 +52,11 @@ def p7_descendants(spark: SparkSession, d: str) -> DataFrame:
     return H.ancestors(_links(spark, d), uuids=True)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_wide, p4_found, p4_report, p7_found, p7_hierarchy, p7_descendants)}
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    return H.link_kinds(_links(spark, d), uuids=True)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_wide, p4_found, p4_report, p7_found, p7_hierarchy, p7_descendants, p7_links)}
 
 _JSON_AT = "json_extract(data, p)"
 _TS = r"^\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$"
@@ -112,6 +116,10 @@ tree AS (
   SELECT node, node AS root, 0 AS depth, '/' || node AS path FROM every WHERE node NOT IN (SELECT node FROM up)
   UNION ALL SELECT u.node, t.root, t.depth + 1, t.path || '/' || u.node FROM tree t JOIN up u ON u.parent = t.node)
 """
+_RINGS = _TREE + """, lost AS (SELECT node, parent FROM up WHERE node NOT IN (SELECT node FROM tree)),
+walk AS (SELECT node AS n, parent AS a FROM lost UNION SELECT w.n, l.parent FROM walk w JOIN lost l ON l.node = w.a),
+ring AS (SELECT w.n, min(x.a) AS low FROM walk w JOIN walk x ON x.n = w.n WHERE w.n = w.a GROUP BY 1)
+"""
 ORACLES = {
     "p2_found": _CELLS + "SELECT entity_id, component_type FROM val GROUP BY 1, 2 HAVING count(value) = 0",
     "p2_wide": _WIDE_ORACLE,
@@ -121,6 +129,15 @@ ORACLES = {
       count(*) FILTER (reason = 'later') AS later, count(*) FILTER (reason = 'deleted') AS deleted
       FROM bad WHERE reason IS NOT NULL GROUP BY 1, 2, 3""",
     "p7_found": _TREE + "SELECT e.node AS node_id, coalesce(t.root, 'cycle') AS root_id, CAST(coalesce(t.depth, -1) AS INTEGER) AS depth FROM every e LEFT JOIN tree t USING (node)",
+    "p7_hierarchy": _RINGS + """SELECT e.node AS node_id, coalesce(t.root, 'cycle') AS root_id, CAST(coalesce(t.depth, -1) AS INTEGER) AS depth, u.parent AS parent_id, t.path,
+      CASE WHEN t.node IS NOT NULL THEN (SELECT count(*) FROM tree x WHERE starts_with(x.path, t.path || '/')) END AS descendants,
+      r.n IS NOT NULL AS on_cycle, coalesce(r.n = r.low, false) AS back_edge
+      FROM every e LEFT JOIN tree t USING (node) LEFT JOIN up u USING (node) LEFT JOIN ring r ON r.n = e.node""",
+    "p7_links": _RINGS + """SELECT l.parent AS parent_id, l.child AS node_id,
+      CASE WHEN u.parent = l.parent THEN CASE WHEN r.n = r.low THEN 'back' WHEN c.path IS NULL THEN 'cycle' ELSE 'tree' END
+           WHEN contains(p.path || '/', '/' || l.child || '/') THEN 'back' ELSE 'cross' END AS kind
+      FROM links l JOIN up u ON u.node = l.child LEFT JOIN tree p ON p.node = l.parent LEFT JOIN tree c ON c.node = l.child LEFT JOIN ring r ON r.n = l.child
+      WHERE l.parent IS NOT NULL AND l.child IS NOT NULL""",
     "p7_descendants": _TREE + """, lists AS (
       SELECT parent AS ancestor, node AS descendant, 1 AS distance FROM up WHERE node IN (SELECT node FROM tree) UNION ALL
       SELECT u.parent, l.descendant, l.distance + 1 FROM lists l JOIN up u ON u.node = l.ancestor)
