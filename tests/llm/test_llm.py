@@ -316,18 +316,37 @@ def test_splitting_round_trip(spark):
     assert SP.split_documents(df, pr.limit(0)).count() == 0
 
 
-def test_giant_file(spark, tmp_path):
+def test_ranges_give_what_whole_texts_give(spark, monkeypatch):
+    """Long texts in ranges of a few KB, with words over the limit in them, against one range."""
+    monkeypatch.setattr(SP, "HALO", 256)
+    rng = random.Random(12)
+    parts = ["alpha ", "beta ", "gamma. ", "délta ", "\n\n", "語 ", "x" * 180 + " ", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (400, 3000, 9000)] + ["a b. " * 5000, "", "short", None]
+    df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(1, texts[1], "x")], "doc_id bigint, text string, key string").distinct()
+    pr = spark.createDataFrame([*PROFILES, ("large", 300, 40)], "profile string, max_tokens int, overlap_tokens int")
+    whole = sorted(map(tuple, SP.split_documents(df, pr).collect()))
+    assert len(whole) > 1000
+    for size in (2_000, 9_000):
+        assert sorted(map(tuple, SP.split_documents(df, pr, size=size).collect())) == whole
+
+
+def test_giant_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(SP, "HALO", 512)
     rng = random.Random(11)
-    text = "".join(rng.choice(["alpha ", "beta ", "gamma. ", "délta ", "\n\n", "語 "]) for _ in range(30_000))
-    path = tmp_path / "big.txt"
+    text = "".join(rng.choice(["alpha ", "beta ", "gamma. ", "délta ", "\n\n", "語 "]) for _ in range(30_000)) + "y" * 5000
+    path, short = tmp_path / "big.txt", tmp_path / "short.txt"
     path.write_text(text, encoding="utf-8")
-    enc, _ = TK.encoding(TK.vocabulary())
-    rows = sorted(SP.split_files(spark, [str(path)], 200, 20, size=16_384, halo=512).collect(), key=lambda r: r["start_byte"])
+    short.write_text("within the limit")
+    (tmp_path / "empty.txt").write_text("")
+    enc, lengths = TK.encoding(TK.vocabulary())
+    rows = sorted(SP.split_files(spark, [str(path), str(short), str(tmp_path / "empty.txt")], 200, 20, size=16_384).collect(), key=lambda r: r["piece_no"])
     raw, at = text.encode(), 0
-    for r in rows:
-        assert r["start_byte"] <= at < r["end_byte"] and raw[r["start_byte"] : r["end_byte"]].decode() == r["piece"] and len(enc.encode_ordinary(r["piece"])) <= 200
+    for k, r in enumerate(rows):
+        assert r["path"] == str(path) and r["piece_no"] == k and r["start_byte"] <= at < r["end_byte"] and raw[r["start_byte"] : r["end_byte"]].decode() == r["piece"] and len(enc.encode_ordinary(r["piece"])) == r["n_tokens"] <= 200
         at = r["end_byte"]
     assert at == len(raw) and len(rows) > 100
+    whole = [(p[1], p[-1]) for p in SP.pieces(text[:-5000], [("file", 200, 20)], enc, lengths)]
+    assert [(r["piece_no"], r["piece"]) for r in rows][: len(whole) - 1] == whole[:-1]
 
 
 def test_registry():

@@ -5,22 +5,25 @@ paragraph, line or sentence, word. There the tokenizer's own splits fall, so the
 between two boundaries is a difference of prefix sums and pieces are planned from the boundary
 table alone: the last best boundary in the second half of what fits, and the next piece begins at the
 first boundary within the overlap. A stretch without white space longer than the limit is cut
-between tokens and measured again.
+into measured parts, and no piece runs over such a cut.
 
-Giant files are processed in byte ranges: each worker reads its range with a halo, from its first
-boundary to the first one of the next range, and makes that stretch's boundary table; the tables are
-stitched by prefix sums and pieces are emitted by offset, reading only their own bytes.
+Texts and files of more than RANGE bytes are processed in byte ranges: each worker reads its range with
+halos and makes the boundary table of the stretch from its first boundary to the first one of
+the next range. Where the pieces of a range begin depends only on where the last piece before it
+ends, so every range also makes the map from that end to the one that leaves it, with the number
+of pieces; these short maps are stitched in order, numbers of pieces and characters are summed up, and pieces
+are emitted by offset from the range's own bytes.
 
 Defined results: a text of at most max_tokens tokens gives no pieces; null and empty texts
 give none; pieces cover the text without gap, each is a substring of at most max_tokens tokens,
-and consecutive ones share at most overlap_tokens (fewer only by part of a word); lone
+and consecutive ones share at most overlap_tokens (fewer by part of a word, none at a hard cut); lone
 surrogates are replaced; a profile with a null or non-positive limit gives no pieces, an overlap is cut to half
-the limit; repeated rows give pieces once; empty tables give no rows; extra columns are ignored.
+the limit; the pieces are the same for any size of ranges, but for words longer than HALO, which a
+range's bound cuts; repeated rows of a giant text give its pieces once; empty tables give no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +32,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weft.llm.tokens import TOKENIZER, clean, encoding, vocabulary
-from weft.session import spread, table
+from weft.session import cut, spread, table
 
 KINDS = ("hard", "word", "sentence", "paragraph", "end")
-#: Bytes of a range of a giant file, and of the halo in which its end must find a boundary.
-RANGE, HALO = 1 << 20, 1 << 16
+#: Bytes of a range, and of the part of its halo in which its ends must find a boundary.
+RANGE, HALO = 1 << 22, 1 << 16
 
 
 _WHITE, _STOP, _CLOSE = 1, 2, 4
@@ -81,69 +84,90 @@ def token_table(text: str, enc, lengths: np.ndarray) -> tuple:
     return raw, ends, at[fits], grade[fits], k[fits] + 1
 
 
-def planned(total: int, before: np.ndarray, grade: np.ndarray, limit: int, overlap: int) -> Iterator[tuple[int, int, int, int]]:
-    """(first token, end token, overlap with the piece before, kind) by the boundary table alone; kind 0 marks a
-    piece that no boundary can end and whose end is between any two tokens."""
-    by = {g: before[grade >= g] for g in (3, 2, 1)}
-    words = by[1]
-    start, last = 0, 0
-    while True:
-        if total - start <= limit:
-            yield start, total, last - start if start else 0, 4
-            return
-        end, kind = start + limit, 0
-        for g in (3, 2, 1):
-            k = np.searchsorted(by[g], start + limit, "right") - 1
-            if k >= 0 and by[g][k] > max(start + (limit // 2 if g > 1 else 0), last):
-                end, kind = int(by[g][k]), g
-                break
-        yield start, end, last - start if start else 0, kind
-        nxt = end
-        if overlap:
-            k = np.searchsorted(words, end - overlap)
-            nxt = int(words[k]) if k < len(words) and words[k] <= end and words[k] > start else end
-        start, last = nxt, end
+def cut_points(whole: bytes, table: tuple, limit: int, enc) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offset, tokens before, grade) of all places where a piece may end, the ends of the text
+    included. A stretch of more than `limit` tokens without a boundary gets hard points (grade 0),
+    each measured part within the limit; no piece runs over one, so counts stay exact."""
+    _, ends, at, grade, before = table
+    off, tok = np.r_[0, at, len(whole)], np.r_[0, before, len(ends)]
+    kind = np.r_[4, grade, 4].astype(np.int8)
+    wide = np.flatnonzero(np.diff(tok) > limit)
+    for g in wide[::-1].tolist():
+        cuts = list(_measured(whole, int(off[g]), int(off[g + 1]), limit, enc))
+        sums = tok[g] + np.cumsum([n for _, _, n in cuts])
+        moved = tok[g + 1 :] - tok[g + 1] + sums[-1]
+        off = np.r_[off[: g + 1], [y for _, y, _ in cuts[:-1]], off[g + 1 :]].astype(np.int64)
+        tok = np.r_[tok[: g + 1], sums[:-1], moved].astype(np.int64)
+        kind = np.r_[kind[: g + 1], np.zeros(len(cuts) - 1, np.int8), kind[g + 1 :]].astype(np.int8)
+    return off, tok, kind
+
+
+def _measured(whole: bytes, x: int, y: int, limit: int, enc) -> Iterator[tuple[int, int, int]]:
+    """Cuts of whole[x:y] at character bounds, each encoded and within the limit; a cut depends
+    only on where it begins and on the 4 * limit bytes from there."""
+
+    def moved(q: int) -> int:
+        while q < y and whole[q] & 0xC0 == 0x80:
+            q += 1
+        return q
+
+    while x < y:
+        q = moved(min(y, x + 4 * limit))
+        while (n := len(enc.encode_ordinary(whole[x:q].decode("utf-8", "replace")))) > limit:
+            q = moved(x + max(1, (q - x) * limit // (n + 1)))
+        yield x, q, n
+        x = q
+
+
+def nexts(tok: np.ndarray, grade: np.ndarray, limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each point, as the end of a piece: (where the next piece begins, where it ends).
+
+    The next piece begins at the first point within the overlap and ends at the last point of
+    the best grade in the second half of what fits, at a hard point at the latest. As that depends on
+    the end of the piece before alone, the pieces of any range follow from where its first one begins."""
+    i = np.arange(len(tok))
+    hard = grade == 0
+    start = i
+    if overlap:
+        start = np.maximum(np.searchsorted(tok, tok - overlap), np.maximum.accumulate(np.where(hard, i, 0)))
+        start = np.where(np.searchsorted(tok, tok[start] + limit, "right") - 1 > i, start, i)
+    reach = np.searchsorted(tok, tok[start] + limit, "right") - 1
+    end = reach
+    for g in (2, 3):
+        best = np.maximum.accumulate(np.where(grade >= g, i, -1))[reach]
+        end = np.where((best > i) & (tok[best] > tok[start] + limit // 2), best, end)
+    if hard.any():
+        stop = np.r_[np.minimum.accumulate(np.where(hard, i, len(i))[::-1])[::-1][1:], len(i)]
+        end = np.where(stop <= reach, stop, end)
+    return start, end
+
+
+def walk(start: np.ndarray, end: np.ndarray, first: int, stop: int) -> Iterator[tuple[int, int, int]]:
+    """(end of the piece before, begin, end) of the pieces that follow point `first`, until one ends at `stop` or later."""
+    e = first
+    while e < stop:
+        yield e, int(start[e]), int(end[e])
+        e = int(end[e])
 
 
 def pieces(text: str, profiles: list[tuple[str, int, int]], enc, lengths: np.ndarray) -> Iterator[tuple]:
-    """(profile, piece_no, start, end, n_tokens, overlap, kind, piece), offsets in characters."""
+    """(profile, piece_no, start, end, n_tokens, overlap, kind, piece) of a text of one range, offsets in characters."""
     if len(text.encode("utf-8")) <= min(m for _, m, _ in profiles):
         return  # fewer bytes than tokens allowed
-    raw, ends, _, grade, before = token_table(text, enc, lengths)
-    total = len(ends)
+    found = token_table(text, enc, lengths)
+    raw, total = found[0], len(found[1])
     if total <= min(m for _, m, _ in profiles):
         return
     whole = raw.tobytes()
     # characters before each byte; of ASCII text the offsets themselves
     chars = np.arange(len(raw) + 1) if len(raw) == len(text) else np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-    ends = np.concatenate(([0], ends))
     for name, limit, overlap in profiles:
         if total <= limit:
             continue
-        no, moved = 0, {}
-        for a, b, share, kind in planned(total, before, grade, limit, overlap):
-            x, y = moved.pop(a, int(ends[a])), int(ends[b])
-            cuts = [(x, y, b - a)]
-            if kind == 0 or x != ends[a]:
-                cuts = list(_measured(whole, x, y, limit, enc))
-                moved[b] = cuts[-1][1]
-            for k, (p, q, n) in enumerate(cuts):
-                yield name, no, int(chars[p]), int(chars[q]), n, share if k == 0 else 0, KINDS[kind], whole[p:q].decode("utf-8")
-                no += 1
-
-
-def _measured(whole: bytes, x: int, y: int, limit: int, enc) -> Iterator[tuple[int, int, int]]:
-    """Cuts of whole[x:y] at character bounds, each encoded and within the limit."""
-    while y < len(whole) and whole[y] & 0xC0 == 0x80:
-        y += 1
-    while x < y:
-        q = y
-        while (n := len(enc.encode_ordinary(whole[x:q].decode("utf-8")))) > limit:
-            q = x + max(1, (q - x) * limit // (n + 1))
-            while q < y and whole[q] & 0xC0 == 0x80:
-                q += 1
-        yield x, q, n
-        x = q
+        off, tok, grade = cut_points(whole, found, limit, enc)
+        for no, (e, b, f) in enumerate(walk(*nexts(tok, grade, limit, overlap), 0, len(off) - 1)):
+            x, y = int(off[b]), int(off[f])
+            yield name, no, int(chars[x]), int(chars[y]), int(tok[f] - tok[b]), int(tok[e] - tok[b]), KINDS[grade[f]], whole[x:y].decode("utf-8")
 
 
 _OUT = "profile string, doc_id bigint, piece_no int, start_char bigint, end_char bigint, n_tokens int, overlap int, boundary string, piece string"
@@ -155,14 +179,15 @@ def profile_rows(profiles: DataFrame) -> list[tuple[str, int, int]]:
     return sorted((r[0], r[1], max(0, min(r[2] or 0, r[1] // 2))) for r in rows)
 
 
-def split_documents(documents: DataFrame, profiles: DataFrame, tokenizer: str = TOKENIZER, with_text: bool = True) -> DataFrame:
-    """The pieces of each text longer than a profile's limit; one pass over the texts, no shuffle."""
+def split_documents(documents: DataFrame, profiles: DataFrame, tokenizer: str = TOKENIZER, with_text: bool = True, size: int = RANGE) -> DataFrame:
+    """The pieces of each text longer than a profile's limit. Texts of one range are split where
+    they stand; longer ones go range by range over all tasks, with the same result."""
     wanted, ranks = profile_rows(profiles), vocabulary(tokenizer)
     schema = _OUT if with_text else _OUT.rpartition(",")[0]
     names = [c.split()[0] for c in schema.split(", ")]
-    docs = spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null"))
     if not wanted:
         return documents.sparkSession.createDataFrame([], schema)
+    docs = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, lengths = encoding(ranks)
@@ -178,90 +203,191 @@ def split_documents(documents: DataFrame, profiles: DataFrame, tokenizer: str =
             if out:
                 yield pd.DataFrame(out, columns=names)
 
-    return docs.mapInPandas(run, schema)
+    short = spread(docs.filter(F.octet_length("text") <= size)).mapInPandas(run, schema)
+    giant = docs.filter(F.octet_length("text") > size).select(F.col("doc_id").cast("string").alias("key"), F.col("text").cast("binary").alias("raw")).distinct()
+    giant = giant.withColumn("length", F.octet_length("raw").cast("bigint"))
+    left, right = _halos(wanted, ranks)
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / size))).alias("k")
+    ranges = giant.select("key", "raw", "length", k).withColumn("at", F.greatest(F.lit(0), F.col("k") * size - left))
+    ranges = ranges.select("key", "k", "length", "at", F.substring("raw", F.col("at").cast("int") + 1, F.lit(left + size + right)).alias("near"))
+    rest = _in_ranges(ranges.repartition("key", "k"), wanted, ranks, size)
+    return short.unionByName(rest.select("profile", F.col("key").cast("bigint").alias("doc_id"), "piece_no", "start_char", "end_char", "n_tokens", "overlap", "boundary", *(["piece"] if with_text else [])))
+
+
+# --- giant texts -----------------------------------------------------------------------------
 
 
-# --- giant files -----------------------------------------------------------------------------
+def _halos(profiles: list[tuple[str, int, int]], ranks: bytes) -> tuple[int, int]:
+    """Bytes to read before a range, for the overlap, and after it, for the last piece that begins in it."""
+    longest = int(encoding(ranks)[1].max())
+    return HALO + max(o for _, _, o in profiles) * longest, 2 * HALO + max(m for _, m, _ in profiles) * (longest + 4)
 
 
-def _stretch(path: str, start: int, size: int, halo: int, length: int) -> tuple[int, bytes]:
-    """The bytes of a range from its first boundary to the next range's first one, with their offset.
+class _View:
+    """A range with its halos: bytes from one boundary to another, and where the range's own stretch
+    begins (a) and ends (b) in them. Both ends are found by the same rule from the bytes around
+    them, so neighbours agree; a range's bound in a word longer than the halo is a hard point."""
 
-    Both ends are found by the same rule from the bytes around a range's start, so neighbouring
-    workers agree; without white space in the halo the bound is the start moved to a character."""
+    def __init__(self, near: bytes, at: int, k: int, size: int, length: int):
+        raw = np.frombuffer(near, np.uint8)
+        found, _ = boundaries(raw)
+        inner = found[(found >= 4) | (at == 0)]
 
-    def bound(f, at: int) -> int:
-        if at <= 0 or at >= length:
-            return max(0, min(at, length))
-        f.seek(at - 4)
-        near = np.frombuffer(f.read(halo), np.uint8)
-        found, _ = boundaries(near)
-        found = found[found >= 4]
-        if len(found):
-            return at - 4 + int(found[0])
-        k = 4
-        while k < len(near) and near[k] & 0xC0 == 0x80:
-            k += 1
-        return at - 4 + k
+        def bound(p: int) -> tuple[int, bool]:
+            if p <= 0 or p >= length:
+                return max(0, min(p, length)), False
+            q = p - at
+            j = np.searchsorted(inner, q)
+            if j < len(inner) and inner[j] < q + HALO:
+                return at + int(inner[j]), False
+            while q < len(raw) and raw[q] & 0xC0 == 0x80:
+                q += 1
+            return at + q, True
+
+        (self.a, hard_a), (self.b, hard_b) = bound(k * size), bound((k + 1) * size)
+        self.v = 0 if at == 0 else min(self.a, at + int(inner[0])) if len(inner) else self.a
+        self.whole = at + len(near) >= length
+        w = length if self.whole else at + int(inner[-2]) if len(inner) > 1 else self.b
+        self.w = max(w, self.b)
+        self.near, self.at = near, at
+        self.hard = [p for p, h in ((self.a, hard_a), (self.b, hard_b)) if h]
+
+    def points(self, limit: int, enc, tables: dict, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """cut_points of the view, offsets from the text's begin; the hard bounds cut it in parts."""
+        edges = [self.v, *[p for p in self.hard if self.v < p < self.w], self.w]
+        off, tok, grade = [np.array([self.v])], [np.array([0])], [np.array([4], np.int8)]
+        for x, y in zip(edges, edges[1:], strict=False):
+            part = self.near[x - self.at : y - self.at]
+            if (x, y) not in tables:
+                tables[x, y] = token_table(part.decode("utf-8", "replace"), enc, lengths)
+            o, t, g = cut_points(part, tables[x, y], limit, enc)
+            if y != edges[-1]:
+                g[-1] = 0
+            elif not self.whole:
+                g[-1] = 1
+            off.append(o[1:] + x)
+            tok.append(t[1:] + tok[-1][-1])
+            grade.append(g[1:])
+        return np.concatenate(off), np.concatenate(tok), np.concatenate(grade)
+
+
+_MAP = "profile string, key string, k bigint, upto array<bigint>, exits array<bigint>, counts array<bigint>, tokens bigint, chars bigint"
+_PIECE = "profile string, key string, piece_no int, start_char bigint, end_char bigint, start_byte bigint, end_byte bigint, n_tokens int, overlap int, boundary string, piece string"
+
+
+def _in_ranges(ranges: DataFrame, profiles: list[tuple[str, int, int]], ranks: bytes, size: int, read=None) -> DataFrame:
+    """Pieces of texts given by ranges (key, k, length, at, near; read fetches near if it is no column).
+
+    First every range makes its boundary table and from it a map: for each place at which the piece
+    before may end, where the first piece that leaves the range ends, and how many there are. The
+    maps, a few steps each since pieces soon fall into line, are stitched in order of k; then
+    every range knows where its pieces begin and their numbers, and emits them by offset."""
+
+    def views(batch: pd.DataFrame) -> Iterator[tuple]:
+        for r in batch.itertuples(index=False):
+            near = bytes(r.near) if read is None else read(r.key, int(r.at), int(r.span))
+            yield r, _View(near, int(r.at), int(r.k), size, int(r.length)), near
+
+    def maps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc, lengths = encoding(ranks)
+        for batch in batches:
+            out = []
+            for r, view, near in views(batch):
+                tables: dict = {}
+                # characters that begin in the range's own bytes
+                lo, hi = int(r.k) * size - view.at, min((int(r.k) + 1) * size - view.at, len(near))
+                chars = int(((np.frombuffer(near, np.uint8)[lo:hi] & 0xC0) != 0x80).sum())
+                for name, limit, overlap in profiles:
+                    off, tok, grade = view.points(limit, enc, tables, lengths)
+                    a, b = int(np.searchsorted(off, view.a)), int(np.searchsorted(off, view.b))
+                    _, end = nexts(tok, grade, limit, overlap)
+                    entry = np.arange(a, int(np.searchsorted(tok, tok[a] + limit, "right"))) if int(r.k) else np.array([0])
+                    now, count = entry.copy(), np.zeros(len(entry), np.int64)
+                    while (open_ := now < b).any():
+                        now, count = np.where(open_, end[np.minimum(now, len(end) - 1)], now), count + open_
+                    last = np.flatnonzero(np.r_[(now[1:] != now[:-1]) | (count[1:] != count[:-1]), True])
+                    out.append((name, r.key, r.k, off[entry[last]].tolist(), off[now[last]].tolist(), count[last].tolist(), int(tok[b] - tok[a]), chars))
+            if out:
+                yield pd.DataFrame(out, columns=[c.split()[0] for c in _MAP.split(", ")])
 
-    with open(path, "rb") as f:
-        a, b = bound(f, start), bound(f, start + size)
-        f.seek(a)
-        return a, f.read(max(0, b - a))
+    found = cut(ranges.mapInPandas(maps, _MAP))
+    total = found.groupBy("profile", "key").agg(F.sum("tokens").alias("total"))
+    limits = F.create_map(*[F.lit(x) for n, m, _ in profiles for x in (n, m)])
+    found = found.join(total.filter(F.col("total") > limits[F.col("profile")]).drop("total"), ["profile", "key"], "left_semi")
 
+    def stitched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, e, no, chars = None, 0, 0, 0
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if (r.profile, r.key) != at:
+                    at, e, no, chars = (r.profile, r.key), 0, 0, 0
+                j = int(np.searchsorted(r.upto, e))
+                out.append((r.profile, r.key, r.k, e, no, chars))
+                chars += r.chars
+                if j < len(r.upto):
+                    e, no = int(r.exits[j]), no + int(r.counts[j])
+            if out:
+                yield pd.DataFrame(out, columns=["profile", "key", "k", "entry", "first_no", "before"])
 
-def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, tokenizer: str = TOKENIZER, size: int = RANGE, halo: int = HALO) -> DataFrame:
-    """(path, piece_no, start_byte, end_byte, n_tokens, piece) for UTF-8 files on a shared
-    folder. No task reads a whole file: only the numbers of its boundary table come together."""
-    ranks = vocabulary(tokenizer)
-    spans = [(p, k, os.path.getsize(p)) for p in paths for k in range(0, max(1, os.path.getsize(p)), size)]
-    work = spark.createDataFrame(spans, "path string, start bigint, length bigint").repartition(max(1, len(spans)), "path", "start")
+    order = ["profile", "key", "k"]
+    entries = found.repartition("profile", "key").sortWithinPartitions(*order).mapInPandas(stitched, "profile string, key string, k bigint, entry bigint, first_no bigint, before bigint")
+    entries = entries.groupBy("key", "k").agg(F.collect_list(F.struct("profile", "entry", "first_no", "before")).alias("entries"))  # one for each profile
 
-    def tables(batches):
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc, lengths = encoding(ranks)
-        for b in batches:
-            for path, start, length in zip(b["path"], b["start"], b["length"], strict=True):
-                a, raw = _stretch(path, start, size, halo, length)
-                _, ends, at, grade, before = token_table(raw.decode("utf-8", "replace"), enc, lengths)
-                # hard cuts need token ends where words are longer than the limit
-                yield pd.DataFrame({"path": [path], "at": [a], "tokens": [len(ends)], "offsets": [(at + a).tolist()], "grades": [grade.tolist()], "before": [before.tolist()], "bytes": [len(raw)]})
-
-    found = work.mapInPandas(tables, "path string, at bigint, tokens bigint, offsets array<bigint>, grades array<int>, before array<bigint>, bytes bigint")
-
-    def stitch(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g["bytes"] > 0].sort_values("at")
-        base = np.r_[0, np.cumsum(g["tokens"].to_numpy())]
-        seam = [(int(a), 1, int(t)) for a, t in zip(g["at"], base, strict=False)][1:]
-        rows = [(o, gr, int(t) + n) for t, os_, gs, ns in zip(base, g["offsets"], g["grades"], g["before"], strict=False) for o, gr, n in zip(os_, gs, ns, strict=True)]
-        rows = sorted({(n, o, gr) for o, gr, n in rows} | {(n, o, gr) for o, gr, n in seam if n not in {r[2] for r in rows}})
-        total, length = int(base[-1]), int(g["at"].iloc[-1] + g["bytes"].iloc[-1]) if len(g) else 0
-        if total <= limit:
-            return pd.DataFrame({"path": [], "piece_no": [], "start_byte": [], "end_byte": [], "n_tokens": []})
-        before, grade = np.array([r[0] for r in rows], np.int64), np.array([r[2] for r in rows], np.int8)
-        offset = dict((r[0], r[1]) for r in rows) | {0: 0, total: length}
-        out, open_ = [], 0
-        for a, b, _, kind in planned(total, before, grade, limit, min(overlap, limit // 2)):
-            if b in offset:
-                out.append((offset[a] if a in offset else open_, offset[b], b - a))
-                open_ = offset[b]
-            # a cut between tokens has no offset in the table: the piece goes on to the next boundary and is measured when emitted
-        return pd.DataFrame([(g["path"].iloc[0], k, *x) for k, x in enumerate(out)], columns=["path", "piece_no", "start_byte", "end_byte", "n_tokens"])
-
-    plan = found.groupBy("path").applyInPandas(stitch, "path string, piece_no int, start_byte bigint, end_byte bigint, n_tokens int")
-
-    def emit(batches):
-        enc, _ = encoding(ranks)
-        for b in batches:
-            out = []
-            for path, no, x, y, n in b.itertuples(index=False):
-                with open(path, "rb") as f:
-                    f.seek(x)
-                    raw = f.read(y - x)
-                cuts = [(0, len(raw), n)] if n <= limit and len(enc.encode_ordinary(raw.decode("utf-8", "replace"))) <= limit else _measured(raw, 0, len(raw), limit, enc)
-                out += [(path, no, x + p, x + q, m, raw[p:q].decode("utf-8", "replace")) for p, q, m in cuts]
-            yield pd.DataFrame(out, columns=["path", "piece_no", "start_byte", "end_byte", "n_tokens", "piece"])
-
-    return plan.repartition(max(1, len(spans)), "path", "piece_no").mapInPandas(emit, "path string, piece_no int, start_byte bigint, end_byte bigint, n_tokens int, piece string")
+        names = [c.split()[0] for c in _PIECE.split(", ")]
+        wanted = {n: (m, o) for n, m, o in profiles}
+        for batch in batches:
+            for r, view, near in views(batch):
+                tables: dict = {}
+                out = []
+                raw = np.frombuffer(near, np.uint8)
+                chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
+                base = chars[int(r.k) * size - view.at]
+                for m in r.entries:
+                    limit, overlap = wanted[m["profile"]]
+                    off, tok, grade = view.points(limit, enc, tables, lengths)
+                    first, b = int(np.searchsorted(off, m["entry"])), int(np.searchsorted(off, view.b))
+                    for no, (e, s, f) in enumerate(walk(*nexts(tok, grade, limit, overlap), first, b)):
+                        x, y = int(off[s]), int(off[f])
+                        i, j = x - view.at, y - view.at
+                        shift = m["before"] - base
+                        out.append((m["profile"], r.key, m["first_no"] + no, int(chars[i] + shift), int(chars[j] + shift), x, y, int(tok[f] - tok[s]), int(tok[e] - tok[s]), KINDS[grade[f]], near[i:j].decode("utf-8", "replace")))
+                if out:
+                    yield pd.DataFrame(out, columns=names)
+
+    return ranges.join(entries, ["key", "k"]).mapInPandas(emit, _PIECE)
+
+
+def _file(path: str):
+    """(file system, path in it) of a path or address that every executor can open."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def split_files(spark: SparkSession, paths: list[str], limit: int, overlap: int, tokenizer: str = TOKENIZER, size: int = RANGE) -> DataFrame:
+    """(path, piece_no, start_byte, end_byte, n_tokens, boundary, piece) for UTF-8 files on a shared
+    folder or store. No task reads a whole file; what is stitched is a short map for each range."""
+    ranks = vocabulary(tokenizer)
+    profiles = [("file", limit, max(0, min(overlap, limit // 2)))]
+    left, right = _halos(profiles, ranks)
+    sizes = [(p, _file(p)[0].get_file_info(_file(p)[1]).size) for p in paths]
+    files = spark.createDataFrame(sizes, "key string, length bigint").filter("length > 0")
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / size))).alias("k")
+    at = F.greatest(F.lit(0), F.col("k") * size - left)
+    ranges = files.select("key", "length", k).select("key", "k", "length", at.alias("at"), F.lit(left + size + right).alias("span"))
+
+    def read(path: str, at: int, span: int) -> bytes:
+        where, name = _file(path)
+        with where.open_input_file(name) as f:
+            f.seek(at)
+            return f.read(span)
+
+    tasks = spark.sparkContext.defaultParallelism
+    out = _in_ranges(ranges.repartition(tasks, "key", "k"), profiles, ranks, size, read)
+    return out.select(F.col("key").alias("path"), "piece_no", "start_byte", "end_byte", "n_tokens", "boundary", "piece")
 
 
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
