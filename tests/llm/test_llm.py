@@ -250,6 +250,18 @@ def test_leaks(spark):
     it = spark.createDataFrame(items, "item_id bigint, lang string, passage string, question string, answer string")
     got = LK.leaks(df, it).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == expected and len(expected) > 20
+    # items in parts, with the statistics of all: the same rows and scores
+    parts = LK.leaks(df, it, 500).collect()
+    key = lambda r: tuple(round(x, 9) if isinstance(x, float) else x for x in r)
+    assert sorted(map(key, parts)) == sorted(map(key, got)) and len(list(LK.indexes(it, 500))) > 2
+    ix = next(LK.indexes(it))
+    for w in (LK.words(docs[k][1])[:24] for k in range(40)):
+        codes = sorted({ix.codes[t] for t in w if t in ix.codes})
+        every = {}
+        for c in codes:
+            for i, s in zip(ix.post[c][0], ix.post[c][1], strict=True):
+                every[i] = every.get(i, 0) + s
+        assert {i: round(s, 9) for i, s in ix.retrieve(codes).items()} == {i: round(s, 9) for i, s in every.items() if s >= 1 - 1e-9}
     assert LK.leaks(df.limit(0), it).count() == 0 and LK.leaks(df, it.limit(0)).count() == 0
 
 
