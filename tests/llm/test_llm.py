@@ -286,14 +286,18 @@ def test_flow_prefers_fewer_repeats():
 def test_mixture(spark):
     rng = random.Random(9)
     docs = [(k, "word " * rng.randrange(1, 60), rng.choice(["a", " A ", "b", "b", "b", "other", None])) for k in range(900)]
+    docs += [(3000 + k, "the same text in two sources " * 4, ("a", "b")[k % 2]) for k in range(50)]
     docs += [(2000, None, "a"), (2001, "", "a"), (None, "x", "a"), docs[0]]
     df = spark.createDataFrame([(*d, 5) for d in docs], "doc_id bigint, text string, source string, n_tokens int")
     t = spark.createDataFrame([("A", 0.6, 2), ("b", 0.4, 1), ("none", 0.0, 1), (None, 0.1, 1)], "source string, target_share double, max_repeats int")
     m = MX.mixture(df, t)
     rows = m.collect()
     assert all(r["uses"] <= {"a": 2, "b": 1}[r["source"]] for r in rows) and sorted(map(str, rows)) == sorted(map(str, MX.mixture(df, t).collect()))
-    share = {r["source"]: r["actual_share"] for r in MX.shares(m, t).collect()}
+    assert sum(r["uses"] for r in rows if r["doc_id"] >= 3000) <= 2 and {r["doc_id"] for r in rows if r["doc_id"] >= 3000} <= {3000}
+    share = {r["source"]: r["actual_share"] for r in MX.shares(m, t, 10_000).collect()}
     assert share["a"] == pytest.approx(0.6, abs=0.05) and share["b"] == pytest.approx(0.4, abs=0.05)
+    report = {r["source"]: r for r in MX.shares(m, t, 10_000_000).collect()}
+    assert report["b"]["quota"] == 4_000_000 and report["b"]["shortfall"] == 4_000_000 - report["b"]["tokens"] and report["none"]["tokens"] == 0
     assert MX.mixture(df.limit(0), t).count() == 0
 
 

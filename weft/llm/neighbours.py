@@ -5,9 +5,9 @@ product-quantised residuals. Each query visits its nearest lists, scores their c
 asymmetrically (exact query against quantised vector), and the best, `rerank` for each list visited, are
 scored exactly from the stored vectors. How many lists are visited is measured for each model: ASKED
 vectors are compared with all others, and as many lists are visited as hold the share COVER of
-their true neighbours, at least `probes`. Lists share bins of about BLOCK vectors, so a query is sent once to
-a bin, not to each list. Centroids and codebooks are fitted on a
-sample of at most SAMPLE vectors per model; every vector is indexed and every vector is
+their true neighbours, at least `probes`. Lists share bins of about BLOCK vectors, near lists the same
+bin, so a query is sent once to each of a few bins, where it meets only the lists it visits. Centroids and codebooks are fitted on a
+sample of at most SAMPLE vectors per model and about SAMPLES of all models; every vector is indexed and every vector is
 a query. Long bins are cut into blocks and their queries into chunks, so a task holds at most
 BLOCK vectors and CHUNK queries however uneven the lists are. Exact copies are indexed once and
 expanded afterwards, without forming all pairs of a group.
@@ -33,8 +33,8 @@ from weft.functions.keys import entity_key
 from weft.session import cut, table
 
 K, MIN_COSINE = 5, 0.80
-#: Most vectors of a model that the index is fitted on, and most lists and codes of it.
-SAMPLE, LISTS, CODES, PARTS = 32_768, 2_048, 256, 8
+#: Most vectors of a model that the index is fitted on (and of all models, about), and most lists and codes of it.
+SAMPLE, SAMPLES, LISTS, CODES, PARTS = 32_768, 1 << 18, 4_096, 256, 8
 PROBES, RERANK, BLOCK, CHUNK = 10, 48, 8_192, 16_384
 #: Queries a model that the number of lists to visit is measured with, and the share of their true neighbours in these lists.
 ASKED, COVER = 512, 0.97
@@ -83,10 +83,25 @@ def _nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.argmax(x[i : i + 8192] @ c.T - half, axis=1) for i in range(0, len(x), 8192)]) if len(x) else np.zeros(0, int)
 
 
+def _in_line(c: np.ndarray) -> np.ndarray:
+    """An order in which near centroids mostly stand next to each other: halves along the main axis, again and again."""
+    if len(c) <= 2:
+        return np.arange(len(c))
+    rest = c - c.mean(0)
+    axis = rest[np.argmax((rest**2).sum(1))]
+    for _ in range(8):
+        axis = rest.T @ (rest @ axis)
+        axis /= np.linalg.norm(axis) or 1.0
+    order = np.argsort(rest @ axis, kind="stable")
+    a, b = order[: len(order) // 2], order[len(order) // 2 :]
+    return np.r_[a[_in_line(c[a])], b[_in_line(c[b])]]
+
+
 def fit(x: np.ndarray, total: int, seed: int = 7) -> Index:
     """An index for `total` vectors from the sample x."""
     lists = int(np.clip(np.sqrt(total), 1, min(LISTS, max(1, len(x) // 8))))
     c = _kmeans(x, lists, 8, seed)
+    c = c[_in_line(c)]
     own = _nearest(x, c)
     rest = x - c[own]
     size = np.bincount(own, minlength=len(c)) * (total / len(x))
@@ -145,30 +160,47 @@ def _search(indexes: dict, k: int, least: float, rerank: int):
         codes = np.frombuffer(b"".join(base["codes"]), np.uint8).reshape(len(base), -1)
         own = np.frombuffer(b"".join(base["lists"]), np.int32)
         q = np.frombuffer(b"".join(query["x"]), np.float32).reshape(len(query), -1)
-        visits = np.zeros((len(query), len(ix.centroids)), bool)
-        visits[np.repeat(np.arange(len(query)), query["lists"].str.len() // 4), np.frombuffer(b"".join(query["lists"]), np.int32)] = True
         names, qn = base["entity_id"].to_numpy(), query["entity_id"].to_numpy()
+        order = np.argsort(own, kind="stable")
+        x, names, own = x[order], names[order], own[order]
+        decoded = _decoded(codes[order], own, ix)
+        at_name = {n: i for i, n in enumerate(names)}
+        self_ = np.array([at_name.get(n, -1) for n in qn])
+        # by list: its stretch of x and the queries that visit it
+        ql = np.frombuffer(b"".join(query["lists"]), np.int32)
+        qi = np.repeat(np.arange(len(query)), query["lists"].str.len() // 4)[np.argsort(ql, kind="stable")]
+        here, begin = np.unique(np.sort(ql), return_index=True)
+        keep = 8 * k
+        score, place = np.full((len(q), keep), -2, np.float32), np.zeros((len(q), keep), np.int64)
+        for n, visitors in zip(here, np.split(qi, begin[1:]), strict=True):
+            lo, hi = np.searchsorted(own, [n, n + 1])
+            if lo == hi:
+                continue
+            step = max(1, 4_000_000 // (hi - lo))
+            for v in np.split(visitors, range(step, len(visitors), step)):
+                part = q[v]
+                s = part @ x[lo:hi].T
+                top = np.broadcast_to(np.arange(hi - lo), s.shape)
+                if hi - lo > rerank:
+                    # the best by their codes, these exactly in single precision
+                    top = np.argpartition(-(part @ decoded[lo:hi].T), rerank - 1, axis=1)[:, :rerank]
+                    s = np.take_along_axis(s, top, 1)
+                top = top + lo
+                s[top == self_[v, None]] = -2
+                s, top = np.hstack([score[v], s]), np.hstack([place[v], top])
+                best = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+                score[v], place[v] = np.take_along_axis(s, best, 1), np.take_along_axis(top, best, 1)
+        # the best of these in double precision
         rank = np.argsort(np.argsort(names))
-        decoded = _decoded(codes, own, ix).T
         out = []
-        step = max(1, 2_000_000 // len(x))
+        step = 1 + 4_000_000 // (keep * q.shape[1])
         for i in range(0, len(q), step):
-            part = q[i : i + step]
-            s = part @ decoded
-            s[~visits[i : i + step][:, own]] = -np.inf
-            r = min(rerank * int(visits[i : i + step].sum(1).max()), len(x))
-            top = np.argpartition(-s, r - 1, axis=1)[:, :r] if r < len(x) else np.broadcast_to(np.arange(len(x)), (len(part), len(x)))
-            # all of them exactly in single precision, the best of these in double
-            single = np.where(np.isneginf(np.take_along_axis(s, top, 1)), -2, np.take_along_axis(part @ x.T, top, 1))
-            if r > 8 * k:
-                top = np.take_along_axis(top, np.argpartition(-single, 8 * k - 1, axis=1)[:, : 8 * k], 1)
-            exact = np.einsum("qrd,qd->qr", x[top].astype(np.float64), part.astype(np.float64))
-            exact[np.isneginf(np.take_along_axis(s, top, 1))] = -2
-            exact[names[top] == qn[i : i + step, None]] = -2
+            top = place[i : i + step]
+            exact = np.einsum("qrd,qd->qr", x[top].astype(np.float64), q[i : i + step].astype(np.float64))
+            exact[score[i : i + step] <= -2] = -2
             order = np.lexsort((rank[top], -exact), axis=1)[:, :k]
-            rows = np.arange(len(part))[:, None]
-            e = exact[rows, order]
-            at, of = np.nonzero(e >= least)
+            e = np.take_along_axis(exact, order, 1)
+            at, of = np.nonzero(e >= max(least, -1.5))
             out.append(pd.DataFrame({"q": qn[i + at], "c": names[top[at, order[at, of]]], "cosine": e[at, of]}))
         res = pd.concat(out)
         res.insert(0, "model", model)
@@ -180,12 +212,11 @@ def _search(indexes: dict, k: int, least: float, rerank: int):
 def _fitted(points: DataFrame, counts: dict) -> tuple[dict, dict]:
     """Model to Index, from a sample by hash of the id of at most SAMPLE vectors a model; model to
     (ids, vectors) of at most ASKED of these."""
-    share = F.lit(0.0)
-    for m, n in counts.items():
-        share = F.when(F.col("model") == m, min(1.0, 0.95 * SAMPLE / n)).otherwise(share)
-    pick = F.pmod(F.xxhash64("entity_id"), F.lit(1_000_003)) < share * 1_000_003
-    sample = points.filter(pick).select("model", "entity_id", "vector").toArrow().to_pandas()
-    fits = {m: fit(_unit(g["vector"])[:SAMPLE], counts[m]) for m, g in sample.groupby("model")}
+    most = max(64, min(SAMPLE, SAMPLES // len(counts)))
+    share = points.sparkSession.createDataFrame([(m, min(1.0, 0.95 * most / n)) for m, n in counts.items()], "model string, share double")
+    pick = F.pmod(F.xxhash64("entity_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003
+    sample = points.join(F.broadcast(share), "model").filter(pick).select("model", "entity_id", "vector").toArrow().to_pandas()  # a row per model
+    fits = {m: fit(_unit(g["vector"])[:most], counts[m]) for m, g in sample.groupby("model")}
     few = {m: g.sample(min(ASKED, len(g)), random_state=7) for m, g in sample.groupby("model")}
     return fits, {m: (g["entity_id"].to_numpy(), _unit(g["vector"])) for m, g in few.items()}
 
