@@ -35,7 +35,7 @@ from weft.session import cut, table
 K, MIN_COSINE = 5, 0.80
 #: Most vectors of a model that the index is fitted on (and of all models, about), and most lists and codes of it.
 SAMPLE, SAMPLES, LISTS, CODES, PARTS = 32_768, 1 << 18, 4_096, 256, 8
-PROBES, RERANK, BLOCK, CHUNK = 10, 48, 8_192, 16_384
+PROBES, RERANK, BLOCK, CHUNK = 10, 48, 16_384, 32_768
 #: Queries a model that the number of lists to visit is measured with, and the share of their true neighbours in these lists.
 ASKED, COVER = 512, 0.97
 
@@ -126,7 +126,24 @@ def _near(x: np.ndarray, ix: Index) -> np.ndarray:
     return x @ ix.centroids.T - (ix.centroids**2).sum(1) / 2
 
 
-def _assign(indexes: dict, probes: dict):
+def _cuts(ix: Index, x: np.ndarray, total: int, probes: int, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each bin the blocks its vectors and the chunks its queries are cut into, by the sample x
+    of the total; few bins get more chunks, of at least 2,048 queries, so that there is work for `tasks`."""
+    near = _near(x, ix)
+    k = min(probes, near.shape[1])
+    visit = np.zeros((len(x), int(ix.bins.max()) + 1), bool)
+    visit[np.arange(len(x))[:, None], ix.bins[np.argpartition(-near, k - 1, axis=1)[:, :k]]] = True
+    held = np.bincount(ix.bins[near.argmax(1)], minlength=visit.shape[1])
+    share = total / len(x)
+    asked = visit.sum(0) * share
+    chunks = np.maximum(np.ceil(asked / (1.3 * CHUNK)), np.minimum(np.ceil(tasks / len(held)), asked // 2_048))
+    return np.maximum(1, np.ceil(held * share / (1.3 * BLOCK))).astype(int), np.maximum(1, chunks).astype(int)
+
+
+def _assign(indexes: dict, probes: dict, cuts: dict):
+    """Rows of the search's groups (bin, block i of its vectors, chunk j of its queries): a vector
+    stands once for each chunk, a query once for each block of each bin it visits."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ixs = indexes.value
         for b in batches:
@@ -140,11 +157,20 @@ def _assign(indexes: dict, probes: dict):
                 codes = _encode(x, own, ix)
                 ids = g["entity_id"].to_numpy()
                 raw = np.array([r.tobytes() for r in x], dtype=object)
-                yield pd.DataFrame({"model": model, "bin": ix.bins[own], "base": True, "entity_id": ids, "x": raw, "lists": [o.tobytes() for o in own], "codes": [c.tobytes() for c in codes]})
+                h = pd.util.hash_array(ids)
+                blocks, chunks = cuts[model]
+                of = ix.bins[own]
+                at = np.repeat(np.arange(len(x)), chunks[of])
+                j = np.arange(len(at)) - np.repeat(np.cumsum(chunks[of]) - chunks[of], chunks[of])
+                own_ = np.array([o.tobytes() for o in own], dtype=object)
+                codes_ = np.array([c.tobytes() for c in codes], dtype=object)
+                yield pd.DataFrame({"model": model, "bin": of[at], "i": (h % blocks[of].astype(np.uint64))[at].astype("int32"), "j": j.astype("int32"), "base": True, "entity_id": ids[at], "x": raw[at], "lists": own_[at], "codes": codes_[at]})
                 for n in np.unique(ix.bins):
                     inside = ix.bins[visit] == n
                     at = np.flatnonzero(inside.any(1))
-                    yield pd.DataFrame({"model": model, "bin": n, "base": False, "entity_id": ids[at], "x": raw[at], "lists": [visit[i, inside[i]].tobytes() for i in at], "codes": None})
+                    lists = [visit[i, inside[i]].tobytes() for i in at]
+                    for i in range(blocks[n]):
+                        yield pd.DataFrame({"model": model, "bin": n, "i": i, "j": (h[at] % np.uint64(chunks[n])).astype("int32"), "base": False, "entity_id": ids[at], "x": raw[at], "lists": lists, "codes": None})
 
     return run
 
@@ -209,16 +235,16 @@ def _search(indexes: dict, k: int, least: float, rerank: int):
     return run
 
 
-def _fitted(points: DataFrame, counts: dict) -> tuple[dict, dict]:
+def _fitted(points: DataFrame, counts: dict) -> tuple[dict, dict, dict]:
     """Model to Index, from a sample by hash of the id of at most SAMPLE vectors a model; model to
-    (ids, vectors) of at most ASKED of these."""
+    (ids, vectors) of at most ASKED of these; model to the sample."""
     most = max(64, min(SAMPLE, SAMPLES // len(counts)))
     share = points.sparkSession.createDataFrame([(m, min(1.0, 0.95 * most / n)) for m, n in counts.items()], "model string, share double")
     pick = F.pmod(F.xxhash64("entity_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003
     sample = points.join(F.broadcast(share), "model").filter(pick).select("model", "entity_id", "vector").toArrow().to_pandas()  # a row per model
-    fits = {m: fit(_unit(g["vector"])[:most], counts[m]) for m, g in sample.groupby("model")}
+    taken = {m: _unit(g["vector"])[:most] for m, g in sample.groupby("model")}
     few = {m: g.sample(min(ASKED, len(g)), random_state=7) for m, g in sample.groupby("model")}
-    return fits, {m: (g["entity_id"].to_numpy(), _unit(g["vector"])) for m, g in few.items()}
+    return {m: fit(x, counts[m]) for m, x in taken.items()}, {m: (g["entity_id"].to_numpy(), _unit(g["vector"])) for m, g in few.items()}, taken
 
 
 def _measured(points: DataFrame, fits: dict, queries: dict, k: int, least: float, probes: int) -> dict:
@@ -267,20 +293,12 @@ def neighbours(rows: DataFrame, k: int = K, least: float = -1.0, probes: int = P
     counts = {r["model"]: r["count"] for r in points.groupBy("model").count().collect()}
     if not counts:
         return spark.createDataFrame([], out.replace("q string, c", "entity_id string, other_id"))
-    fits, queries = _fitted(points, counts)
+    fits, queries, sample = _fitted(points, counts)
     points = points.filter(F.col("model").isin(list(fits)))
     shared = spark.sparkContext.broadcast(fits)
     visits = _measured(points, fits, queries, k, least, probes)
-    spread = points.mapInPandas(_assign(shared, visits), "model string, bin int, base boolean, entity_id string, x binary, lists binary, codes binary")
-    spread = cut(spread)
-    lens = spread.groupBy("model", "bin").agg(F.count_if("base").alias("n"), F.count_if(~F.col("base")).alias("m"))
-    cuts = lens.select("model", "bin", F.ceil(F.col("n") / BLOCK).cast("int").alias("nb"), F.ceil(F.col("m") / CHUNK).cast("int").alias("nq"))
-    cuts = cuts.filter("nb > 0 and nq > 0")  # a row per bin: at most LISTS a model
-    h = F.xxhash64("entity_id")
-    split = spread.join(F.broadcast(cuts), ["model", "bin"])
-    block = F.when(F.col("base"), F.array(F.pmod(h, F.col("nb")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("nb") - 1))
-    chunk = F.when(F.col("base"), F.sequence(F.lit(0), F.col("nq") - 1)).otherwise(F.array(F.pmod(h, F.col("nq")).cast("int")))
-    split = split.withColumn("i", F.explode(block)).withColumn("j", F.explode(chunk)).drop("nb", "nq")
+    cuts = {m: _cuts(ix, sample[m], counts[m], visits[m], spark.sparkContext.defaultParallelism) for m, ix in fits.items()}
+    split = points.mapInPandas(_assign(shared, visits, cuts), "model string, bin int, i int, j int, base boolean, entity_id string, x binary, lists binary, codes binary")
     found = split.groupBy("model", "bin", "i", "j").applyInPandas(_search(shared, k, least, rerank), out)
     best = W.partitionBy("model", "q").orderBy(F.desc("cosine"), "c")
     top = cut(found.withColumn("rn", F.row_number().over(best)).filter(F.col("rn") <= k).drop("rn"))
