@@ -112,7 +112,7 @@ def usable(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER)
     """(doc_id, n_tokens, pattern) for each different text of a target source that has tokens."""
     wanted = targets.select(source_key(F.col("source")).alias("source")).filter("source is not null").distinct()
     rows = documents.select("doc_id", source_key(F.col("source")).alias("source"), "text").filter("doc_id is not null and source is not null and text is not null")
-    rows = spread(rows.join(F.broadcast(wanted), "source", "left_semi"))  # the targets: a small fixed table
+    rows = spread(rows).join(F.broadcast(wanted), "source", "left_semi")  # the targets: a small fixed table
     counted = with_token_counts(rows.withColumn("h", F.sha2("text", 256)), tokenizer=tokenizer).filter("n_tokens > 0")
     one = counted.groupBy("doc_id").agg(F.min(F.struct("h", "source", "n_tokens")).alias("d")).select("doc_id", "d.*")
     # a set of at most as many sources as there are targets, whatever the number of copies

@@ -62,12 +62,11 @@ def archived(entities: DataFrame, edges: DataFrame, conversation: str) -> DataFr
 
 def context(m: Model, ids: DataFrame) -> DataFrame:
     """(id, entity_type, title, tags, content, relationships) of the given entities; the outgoing
-    relationships as 'type → title (type)', of each entity the first 50 by text."""
+    relationships as 'type → title (type)', sorted."""
     to = m.flat.select(F.col("id").alias("target_id"), F.col("title").alias("t"), F.col("entity_type").alias("k"))
     line = F.concat_ws("", "relationship_type", F.lit(" → "), "t", F.lit(" ("), "k", F.lit(")")).alias("line")
     own = m.edges.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(to, "target_id").select(F.col("source_id").alias("id"), line).distinct()
-    first = own.withColumn("rn", F.row_number().over(W.partitionBy("id").orderBy("line"))).filter("rn <= 50")  # pruned before the shuffle
-    own = first.groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("relationships"))
+    own = own.groupBy("id").agg(F.sort_array(F.collect_list("line")).alias("relationships"))
     return m.flat.join(ids.select("id"), "id", "left_semi").join(own, "id", "left").select("id", "entity_type", "title", "tags", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("relationships", F.array().cast("array<string>")).alias("relationships"))
 
 
@@ -75,7 +74,7 @@ def search_context(m: Model, query: str, limit: int = 10) -> tuple[DataFrame, st
     """The entities retrieved for a question, or the most recent ones; with which it was."""
     terms = m.spark.range(1).select(chat_terms(F.lit(query)).alias("t")).first()["t"]
     if terms:
-        hits = search(search_docs(m.flat), " OR ".join(terms), limit=limit)
+        hits = search(search_docs(m.flat), " OR ".join(terms), limit=limit, held=(m.postings, m.lengths))
         if not hits.isEmpty():
             return context(m, hits.select(F.col("entity_id").alias("id"))), "retrieved"
     from weft.operators.repository import recent

@@ -54,7 +54,7 @@ def bm25(postings: DataFrame, lengths: DataFrame, terms: list[str], scale: float
     asked = reduce(lambda a, p: a | F.col("term").startswith(p), prefixes, F.col("term").isin(terms))
     wanted = postings.filter(asked).select("term", "entity_id", "tf")
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    rows = wanted.join(F.broadcast(df), "term").join(lengths, "entity_id").join(F.broadcast(stats))
+    rows = wanted.join(df, "term").join(lengths, "entity_id").join(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     return rows.groupBy("entity_id").agg((-scale * F.sum(part)).alias("score"), F.count("*").alias("hits"))
@@ -156,26 +156,45 @@ def _terms(tree, kind: str = "term") -> list[str]:
     return _terms(tree[1], kind) + ([] if tree[0] == "not" else _terms(tree[2], kind))
 
 
-def search(docs: DataFrame, query: str, kind: str | None = None, tag: str | None = None, limit: int | None = None, scale: float = 1.0) -> DataFrame:
-    """(entity_id, score, snippet) by BM25, filtered by type and tag."""
-    postings, lengths = index(docs)
+def search(docs: DataFrame, query: str, kind: str | None = None, tag: str | None = None, limit: int | None = None, scale: float = 1.0, held: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(entity_id, score, snippet) by BM25, filtered by type and tag; held: postings and lengths of a kept index."""
+    postings, lengths = held or index(docs)
     tree = parse(query)
     terms = sorted(set(_terms(tree)))
-    found = bm25(postings, lengths, terms, scale, tuple(sorted(set(_terms(tree, "prefix"))))).join(matching(postings, tree), "entity_id", "left_semi")
+    prefixes = tuple(sorted(set(_terms(tree, "prefix"))))
+    found = bm25(postings, lengths, terms, scale, prefixes).join(matching(postings, tree), "entity_id", "left_semi")
     rows = docs if kind is None else docs.filter(F.lower("entity_type") == kind.lower())
     rows = rows if tag is None else rows.filter(F.array_contains("tag_list", tag))
-    out = found.join(rows.select("entity_id", "content"), "entity_id").select("entity_id", "score", snippet(F.col("content"), terms).alias("snippet"))
+    out = found.join(rows.select("entity_id", "content"), "entity_id").select("entity_id", "score", snippet(F.col("content"), terms, prefixes=prefixes).alias("snippet"))
     return out.orderBy("score", "entity_id").limit(limit) if limit else out
 
 
-def snippet(content: Column, terms: list[str], width: int = 32) -> Column:
-    """The window of `width` words with most of the terms, the earliest of equals, hits in <b>."""
+def snippet(content: Column, terms: list[str], width: int = 32, prefixes: tuple = ()) -> Column:
+    """The window of `width` words with most different terms, of these the one with most hits, then the
+    earliest; it begins at a hit (the text's first word if there is none) unless that would leave it short. Hits in <b>."""
     words = F.split(F.trim(content), r"\s+")
-    is_hit = lambda w: F.arrays_overlap(tokens(w), F.array(*[F.lit(t) for t in terms]))
-    hits = F.transform(words, lambda w: is_hit(w).cast("int"))
-    first = F.greatest(F.array_position(hits, 1).cast("int") - 1, F.lit(0))
-    start = F.greatest(first - width // 4, F.lit(0)) + 1
-    return F.array_join(F.transform(F.slice(words, start, width), lambda w: F.when(is_hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)), " ")
+    asked = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    term = lambda w: F.filter(tokens(w), lambda t: reduce(lambda a, p: a | t.startswith(p), prefixes, F.array_contains(asked, t)))
+    # (place, term) of the hits: windows are counted over these alone
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), F.get(term(w), F.lit(0)).alias("t"))), lambda h: h["t"].isNotNull())
+    begin = lambda h: F.greatest(F.least(h["i"], F.size(words) - width), F.lit(0))
+    inside = lambda h: F.filter(hits, lambda g: (g["i"] >= begin(h)) & (g["i"] < begin(h) + width))
+    scored = F.transform(hits, lambda h: F.struct(F.size(F.array_distinct(F.transform(inside(h), lambda g: g["t"]))).alias("terms"), F.size(inside(h)).alias("n"), (-begin(h)).alias("at")))
+    start = F.coalesce(-F.array_max(scored)["at"], F.lit(0)) + 1
+    return F.array_join(F.transform(F.slice(words, start, width), lambda w: F.when(F.size(term(w)) > 0, F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)), " ")
+
+
+def retrieval(docs: DataFrame, query: str, kinds: tuple = (), tags: tuple = (), limit: int = 20, held: tuple | None = None) -> DataFrame:
+    """A search by the first type and the first tag only, best first, as summaries."""
+    found = search(docs, query, kinds[0] if kinds else None, tags[0] if tags else None, limit, held=held).select("entity_id", "score")
+    rows = docs.select("entity_id", "entity_type", "title", F.substring("content", 1, 200).alias("preview"), "tags")
+    return found.join(rows, "entity_id").orderBy("score", "entity_id")
+
+
+def mentions(docs: DataFrame, text: str, held: tuple | None = None) -> DataFrame:
+    """Candidates for a mention: the raw text as a keyword query, all of them, best first."""
+    found = search(docs, text, held=held).select("entity_id", "score")
+    return found.join(docs.select("entity_id", "entity_type", "title", F.substring("content", 1, 200).alias("preview")), "entity_id").orderBy("score", "entity_id")
 
 
 def chat_terms(c: Column) -> Column:

@@ -10,16 +10,23 @@ from pyspark.sql import functions as F
 from weft import schema as S
 from weft.functions.keys import NIL, entity_key, sql_uuid
 from weft.operators.orphans import current_entities
+from weft.operators.search import index, search_docs
 from weft.operators.wide import wide_table
-from weft.session import table
+from weft.session import kept, table
 
 
 class Model:
-    """entities, flat (an entity with its wide attributes), edges, members and the rest."""
+    """entities, flat (an entity with its wide attributes), edges, members and the rest.
+
+    These are derived tables: the first query of a session that needs one writes it, the others read
+    only the columns and row groups they ask for (sorted by what is mostly filtered on)."""
 
     def __init__(self, spark: SparkSession, directory: str):
         self.spark, self.dir = spark, directory
 
+    def _kept(self, name: str, make) -> DataFrame:
+        return kept(self.spark, self.dir, name, make)
+
     def raw(self, name: str) -> DataFrame:
         return table(self.spark, self.dir, name)
 
@@ -27,7 +34,8 @@ class Model:
     def entities(self) -> DataFrame:
         """The row that holds of each id, archived ones too."""
         e = current_entities(self.raw("entities"))
-        return e.select("id", S.canonical(F.col("entity_type"), S.KNOWN_TYPES).alias("entity_type"), "is_active", "created_at", "updated_at", "version")
+        named = e.select("id", S.canonical(F.col("entity_type"), S.KNOWN_TYPES).alias("entity_type"), "is_active", "created_at", "updated_at", "version")
+        return self._kept("entities", lambda: named.sortWithinPartitions("id"))
 
     @cached_property
     def active(self) -> DataFrame:
@@ -41,22 +49,37 @@ class Model:
     @cached_property
     def flat(self) -> DataFrame:
         """Active entities with title (Untitled for none), content, tags and the other attributes."""
-        w = wide_table(self.raw("components"), self.raw("component_catalog"))
-        joined = self.active.join(w, self.active.id == w.entity_id, "left").drop("entity_id")
-        return joined.withColumn("title", F.coalesce("title", F.lit(S.UNTITLED))).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+        def make() -> DataFrame:
+            w = wide_table(self.raw("components"), self.raw("component_catalog"))
+            joined = self.active.join(w, self.active.id == w.entity_id, "left").drop("entity_id")
+            named = joined.withColumn("title", F.coalesce("title", F.lit(S.UNTITLED))).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+            return named.sortWithinPartitions("entity_type", "id")
+
+        return self._kept("flat", make)
 
     @cached_property
     def edges(self) -> DataFrame:
         """Active relationships between UUIDs, one row per id."""
         r = self.raw("relationships").filter("is_active")
         r = r.select("id", entity_key(F.col("source_id")).alias("source_id"), entity_key(F.col("target_id")).alias("target_id"), S.canonical(F.col("relationship_type"), S.RELATIONSHIP_TYPES).alias("relationship_type"), "created_at")
-        return r.filter("source_id is not null and target_id is not null").distinct()
+        return self._kept("edges", lambda: r.filter("source_id is not null and target_id is not null").distinct().sortWithinPartitions("relationship_type", "source_id"))
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """The keyword index, in ranges of terms, so that a query reads only those of its terms."""
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return self._kept("postings", lambda: index(search_docs(self.flat))[0].repartitionByRange(n, "term", "entity_id").sortWithinPartitions("term", "entity_id"))
+
+    @cached_property
+    def lengths(self) -> DataFrame:
+        return self._kept("lengths", lambda: index(search_docs(self.flat))[1])
 
     @cached_property
     def members(self) -> DataFrame:
         """(collection_id, entity_id, added_at) as documents were filed."""
         d = self.raw("documents").select(entity_key(F.col("collection_id")).alias("collection_id"), entity_key(F.col("entity_id")).alias("entity_id"), "created_at")
-        return d.filter("collection_id is not null and entity_id is not null").groupBy("collection_id", "entity_id").agg(F.min("created_at").alias("added_at"))
+        return self._kept("members", lambda: d.filter("collection_id is not null and entity_id is not null").groupBy("collection_id", "entity_id").agg(F.min("created_at").alias("added_at")))
 
 
 def prelude(wide_sql: str) -> str:

@@ -94,13 +94,13 @@ stat AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM words),
 hit AS (SELECT p.*, len(w) AS len, count(*) OVER (PARTITION BY term) AS df FROM post p JOIN words USING (entity_id) WHERE term IN ('harbour', 'ledger')),
 bm AS (SELECT entity_id, -sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score, count(*) AS hits FROM hit, stat GROUP BY 1)
 """
-_search = lambda m, q, **k: K.search(K.search_docs(m.flat), q, **k).select("entity_id", F.round("score", 6).alias("score"))
+_search = lambda m, q, **k: K.search(K.search_docs(m.flat), q, held=(m.postings, m.lengths), **k).select("entity_id", F.round("score", 6).alias("score"))
 query("keyword_and", _INDEX + "SELECT entity_id, round(score, 6) AS score FROM bm WHERE hits = 2")(lambda m: _search(m, "harbour ledger"))
 query("keyword_or", _INDEX + "SELECT entity_id, round(score, 6) AS score FROM bm")(lambda m: _search(m, "harbour OR ledger"))
 query("keyword_not", _INDEX + ", h AS (SELECT entity_id, -greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean)) AS score FROM hit, stat WHERE term = 'harbour') SELECT entity_id, round(score, 6) AS score FROM h WHERE entity_id NOT IN (SELECT entity_id FROM post WHERE term = 'ledger')")(lambda m: _search(m, "harbour NOT ledger"))
 query("keyword_type_tag", _INDEX + "SELECT entity_id, round(score, 6) AS score FROM bm JOIN words USING (entity_id) WHERE lower(entity_type) = 'article' AND list_contains(tag_list, 'harbour')")(lambda m: _search(m, "harbour OR ledger", kind="article", tag="harbour"))
-query("keyword_phrase")(lambda m: K.search(K.search_docs(m.flat), '"the harbour waits" OR ledg*'))
-query("search_postings", _INDEX + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1")(lambda m: K.index(K.search_docs(m.flat))[0].groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
+query("keyword_phrase")(lambda m: K.search(K.search_docs(m.flat), '"the harbour waits" OR ledg*', held=(m.postings, m.lengths)))
+query("search_postings", _INDEX + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1")(lambda m: m.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
 query("chat_terms", f"""SELECT id, array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{Nl}}\\p{{N}}]+'), lambda w: octet_length(encode(w)) >= 3 AND NOT list_contains([{', '.join(repr(w) for w in K.STOPWORDS)}], w)), ' OR ') AS terms
   FROM (SELECT DISTINCT id, text FROM message_details WHERE text IS NOT NULL)""", False)(lambda s, d: Model(s, d).raw("message_details").filter("text is not null").select("id", "text").distinct().select("id", F.array_join(K.chat_terms(F.col("text")), " OR ").alias("terms")))
 

@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,9 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def width(df: DataFrame) -> int:
+    """The splits of a plan without shuffles, or the number of cores if that is more."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, df._jdf.queryExecution().toRdd().getNumPartitions())
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores if its files come in fewer splits than there are cores, for steps whose
-    work per row is heavy; larger inputs have more splits and are left as they are."""
+    """df, a plan without shuffles, over all cores if its files come in fewer splits than there are
+    cores, for steps whose work per row is heavy; larger inputs have more splits and are left as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
@@ -62,6 +68,25 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+_KEPT: dict = {}
+
+
+def kept(spark: SparkSession, directory: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The derived table `name` of a data directory, written once by cut and read by all later queries
+    of the session; written anew if a file of the directory has changed."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(directory)
+    state = tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in where.getFileSystem(conf).listStatus(where)))
+    key = (spark.sparkContext.applicationId, directory, name)
+    if key in _KEPT and _KEPT[key][0] == state:
+        path = jvm.org.apache.hadoop.fs.Path(_KEPT[key][1]._weft_path)
+        if path.getFileSystem(conf).exists(path):
+            return _KEPT[key][1]
+    _KEPT[key] = (state, cut(make()))
+    return _KEPT[key][1]
+
+
 def release(df: DataFrame) -> None:
     """Removes the table behind a cut that is no longer needed, and lets the driver notice the
     shuffles that went before it, which otherwise stay on disk until its next collection."""
