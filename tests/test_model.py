@@ -173,6 +173,71 @@ def test_store(spark, tmp_path):
     assert ST.member_removed(mem, mem).count() == 0
 
 
+def test_store_runs(spark, tmp_path):
+    s = ST.Store(spark, str(tmp_path))
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, v int")
+    for k in range(20):
+        s.upsert("t", rows(("a", k), (f"k{k}", k)), ["id"])
+    held = s.manifest()[1]["t"]
+    assert s.version("t") == 20 and len(held["runs"]) < 8 and max(r["level"] for r in held["runs"]) == 1
+    assert {tuple(r) for r in s.read("t").collect()} == {("a", 19)} | {(f"k{k}", k) for k in range(20)}
+    s.apply(("delete", "t", rows(("a", 0)), ["id"]), ("append", "log", rows(("gone", 1)), None))
+    assert s.read("t").count() == 20 and s.read("log").count() == 1
+    # a change that fails half way shows nothing of itself, and a torn manifest never was
+    with pytest.raises(ValueError):
+        s.apply(("append", "log", rows(("x", 1)), None), ("nonsense", "t", rows(), None))
+    n, _ = s.manifest()
+    (tmp_path / "manifest" / f"{n + 1:09d}.json").write_text('{"t"')
+    assert s.read("log").count() == 1
+    with pytest.raises(ST.Conflict):
+        s._publish(n + 1, {})
+    s.append("log", rows(("y", 2)))
+    assert s.read("log").count() == 2 and s.vacuum() > 10 and s.read("t").count() == 20
+    with pytest.raises(ST.NotFound):
+        s.read("none")
+
+
+def test_collections(spark):
+    c = spark.createDataFrame([], "id string, name string, description string, created_at timestamp, updated_at timestamp")
+    c = ST.collection_created(ST.collection_created(c, "1", "b", None, "2024-01-01"), "2", "a", "d", "2024-01-01")
+    c = ST.collection_updated(c, "1", "2024-02-02", name="C")
+    assert [r["name"] for r in ST.collections_listed(c).collect()] == ["C", "a"] and ST.collection_get(c, "1").first()["updated_at"].month == 2
+    with pytest.raises(ST.NotFound):
+        ST.collection_updated(c, "9", "2024-02-02", name="x")
+    with pytest.raises(ValueError):
+        ST.collection_created(c, "1", "x", None, "2024-01-01")
+    m = spark.createDataFrame([("1", "e"), ("2", "e")], "collection_id string, entity_id string")
+    left, members = ST.collection_deleted(c, m, c.filter("id = '1'"))
+    assert left.count() == 1 and [r["collection_id"] for r in members.collect()] == ["2"]
+
+
+def test_streams_of_deltas(spark, tmp_path):
+    from weft.operators import orphans as O
+    from weft.operators import wide as W
+    from weft.streaming import watch
+
+    store = ST.Store(spark, str(tmp_path))
+    kinds = [{"component_type": "Title", "column_name": "title", "column_type": "string", "json_paths": ["$"]}]
+    e1, e2 = (f"{k}" * 8 + "-1111-1111-1111-111111111111" for k in "12")
+    run = watch.delta_batch(store, kinds)
+    for k in range(10):
+        run(spark.createDataFrame([(f"c{k}", e1, "Title", f'"v{k}"', T, 20 - k), (f"d{k}", e2, "Title", f'"w{k}"', T, k)], "id string, entity_id string, component_type string, data string, created_at timestamp, version bigint"), k)
+    assert {tuple(r) for r in watch.wide_now(store, kinds).collect()} == {(e1, "v0"), (e2, "w9")}
+    refs = spark.createDataFrame([("t", "f", f"r{k}", T, (e1, e2)[k % 2]) for k in range(4)], "table_name string, field_name string, record_id string, at timestamp, key string")
+    ents = spark.createDataFrame([(e1, "x", True, T, T, 1)], "id string, entity_type string, is_active boolean, created_at timestamp, updated_at timestamp, version bigint")
+    watch.orphan_batch(store)(refs, 0)
+    watch.orphan_batch(store)(ents, 1)
+    assert {tuple(r) for r in watch.orphans_now(store).collect()} == {(e2, 2)}
+    watch.orphan_batch(store, -1)(refs.filter("record_id = 'r1'"), 2)
+    assert {tuple(r) for r in watch.orphans_now(store).collect()} == {(e2, 1)} and O and W
+    views, seen = watch.Views(), []
+    views.register("table", lambda n: spark.range(n), seen.append)
+    views.notify("event")
+    assert views.names() == ["table"] and views.render("table", 3).count() == 3 and seen == ["event"]
+    with pytest.raises(KeyError):
+        views.render("other")
+
+
 def parsed(path, raw):
     return list(P.PARSERS[path.rpartition(".")[2]](path, raw if isinstance(raw, bytes) else raw.encode()))
 

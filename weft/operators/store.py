@@ -1,66 +1,182 @@
-"""Tables as versioned snapshots: upserts, deletes, archive, versions.
+"""Tables as logs of immutable runs under one manifest: upserts, deletes, archive, versions.
 
-A snapshot is a folder v=N; a pointer file names the current one and is replaced last, so a
-reader or a crash sees either the old table or the new one."""
+A change writes only its own rows, as a new run, and then a manifest that lists the runs of all tables;
+manifests are numbered files created once, so a reader or a crash sees all of a change or nothing of it, for
+any number of tables, and of two writers one fails. FAN runs of one level are merged into one of the next, so a
+row is rewritten once for each level. Files are reached through Hadoop, so a store may lie on any file system it knows."""
 
 from __future__ import annotations
 
 import json
-import os
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Runs of one level that are merged, and manifests that vacuum keeps the runs of.
+FAN, KEEP = 8, 3
+
+
+class Conflict(RuntimeError):
+    """Another writer made the manifest first."""
+
+
+class NotFound(KeyError):
+    """No such row."""
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root
 
-    def _pointer(self, name: str) -> str:
-        return os.path.join(self.root, name, "current.json")
+    # --- manifests
 
-    def version(self, name: str) -> int | None:
+    def _path(self, *parts: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root.rstrip("/"), *parts]))
+
+    @property
+    def _fs(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _numbers(self) -> list[int]:
+        if not self._fs.exists(self._path("manifest")):
+            return []
+        return sorted(int(f.getPath().getName()[:-5]) for f in self._fs.listStatus(self._path("manifest")) if f.getPath().getName().endswith(".json"))
+
+    def _load(self, n: int) -> dict | None:
+        stream = self._fs.open(self._path("manifest", f"{n:09d}.json"))
         try:
-            with open(self._pointer(name)) as f:
-                return json.load(f)["v"]
-        except FileNotFoundError:
-            return None
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except json.JSONDecodeError:
+            return None  # its writer died: it never was
+        finally:
+            stream.close()
+
+    def manifest(self) -> tuple[int, dict]:
+        """(number, tables) of the newest whole manifest."""
+        numbers = self._numbers()
+        for n in reversed(numbers):
+            found = self._load(n)
+            if found is not None:
+                return numbers[-1], found
+        return numbers[-1] if numbers else 0, {}
+
+    def _publish(self, n: int, tables: dict) -> None:
+        where = self._path("manifest", f"{n:09d}.json")
+        try:
+            out = self._fs.create(where, False)
+        except Exception as e:
+            raise Conflict(where.toString()) from e
+        out.write(bytearray(json.dumps(tables).encode()))
+        out.close()
+
+    # --- reading
+
+    def version(self, name: str) -> int | None:
+        """Number of changes a table has had, None if there is none of that name."""
+        found = self.manifest()[1].get(name)
+        return found["v"] if found else None
+
+    def _rows(self, runs: list[dict], keys: list[str] | None) -> DataFrame:
+        """Runs in order: later rows replace those of the same key, a run of deleted keys removes them."""
+        now = None
+        for r in runs:
+            rows = self.spark.read.parquet(f"{self.root.rstrip('/')}/{r['path']}")
+            if r["on"]:
+                now = now.join(rows, r["on"], "left_anti")
+            elif now is None or not keys:
+                now = rows if now is None else now.unionByName(rows)
+            else:
+                now = now.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
+        return now
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(os.path.join(self.root, name, f"v={self.version(name)}"))
+        found = self.manifest()[1].get(name)
+        if found is None:
+            raise NotFound(name)
+        return self._rows(found["runs"], found["keys"])
+
+    # --- changes
+
+    def _run(self, name: str, df: DataFrame, level: int = 0, on: list[str] | None = None) -> dict:
+        path = f"{name}/{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.root.rstrip('/')}/{path}")
+        return {"path": path, "level": level, "on": on}
+
+    def apply(self, *changes: tuple, merge: dict[str, Callable] | None = None) -> None:
+        """Changes (kind, table, rows, columns) as one: write replaces a table, append adds rows, upsert replaces
+        rows by key columns, delete removes the rows that match on columns. merge: by table, what
+        makes one run of the rows of several appended ones."""
+        n, tables = self.manifest()
+        touched = []
+        for kind, name, rows, columns in changes:
+            held = tables.setdefault(name, {"v": 0, "keys": None, "runs": []})
+            if name not in touched:
+                held["v"] += 1
+                touched.append(name)
+            if kind == "write":
+                held["runs"], held["keys"] = [self._run(name, rows)], None
+            elif kind == "delete":
+                if held["runs"]:
+                    held["runs"].append(self._run(name, rows.select(*columns).distinct(), on=list(columns)))
+            elif kind == "upsert":
+                held["keys"] = list(columns)
+                held["runs"].append(self._run(name, rows.dropDuplicates(list(columns))))
+            elif kind == "append":
+                held["runs"].append(self._run(name, rows))
+            else:
+                raise ValueError(kind)
+        for name in touched:
+            self._merged(name, tables[name], (merge or {}).get(name))
+        self._publish(n + 1, tables)
+
+    def _merged(self, name: str, held: dict, merge: Callable | None) -> None:
+        """Merges the last FAN runs of a level, if they hold rows only; all runs if deletions have piled up."""
+        while True:
+            runs = held["runs"]
+            last = runs[-FAN:]
+            if len(last) == FAN and all(r["level"] == last[0]["level"] and not r["on"] for r in last):
+                rows = self._rows(last, held["keys"])
+                held["runs"] = [*runs[:-FAN], self._run(name, merge(rows) if merge else rows, last[0]["level"] + 1)]
+            elif len(runs) > 4 * FAN:
+                held["runs"] = [self._run(name, self._rows(runs, held["keys"]), max(r["level"] for r in runs))]
+            else:
+                return
 
     def write(self, name: str, df: DataFrame) -> None:
-        n = (self.version(name) or 0) + 1
-        df.write.mode("overwrite").parquet(os.path.join(self.root, name, f"v={n}"))
-        temporary = self._pointer(name) + ".new"
-        with open(temporary, "w") as f:
-            json.dump({"v": n}, f)
-        os.replace(temporary, self._pointer(name))
+        self.apply(("write", name, df, None))
 
     def upsert(self, name: str, rows: DataFrame, keys: list[str]) -> None:
-        """New rows replace those of the same key."""
-        if self.version(name) is None:
-            return self.write(name, rows)
-        return self.write(name, replaced(self.read(name), rows, keys))
+        """New rows replace those of the same key; of repeated new rows one."""
+        self.apply(("upsert", name, rows, keys))
 
     def delete(self, name: str, keys: DataFrame, on: list[str]) -> None:
-        self.write(name, self.read(name).join(keys, on, "left_anti"))
+        self.apply(("delete", name, keys, on))
 
-    def append(self, name: str, rows: DataFrame) -> None:
+    def append(self, name: str, rows: DataFrame, merge: Callable | None = None) -> None:
         """Events are only added."""
-        self.write(name, rows if self.version(name) is None else self.read(name).unionByName(rows))
+        self.apply(("append", name, rows, None), merge={name: merge} if merge else None)
 
     def commit(self, changes: dict[str, DataFrame]) -> None:
-        """Several tables; all snapshots are written before any pointer moves."""
-        made = {}
-        for name, df in changes.items():
-            made[name] = (self.version(name) or 0) + 1
-            df.write.mode("overwrite").parquet(os.path.join(self.root, name, f"v={made[name]}"))
-        for name, n in made.items():
-            with open(self._pointer(name) + ".new", "w") as f:
-                json.dump({"v": n}, f)
-            os.replace(self._pointer(name) + ".new", self._pointer(name))
+        """Several tables replaced as one."""
+        self.apply(*[("write", name, df, None) for name, df in changes.items()])
+
+    def vacuum(self) -> int:
+        """Removes runs that none of the last KEEP manifests lists, and older manifests; how many runs went."""
+        numbers = self._numbers()
+        held = [m for n in numbers[-KEEP:] if (m := self._load(n)) is not None]
+        used = {r["path"] for m in held for t in m.values() for r in t["runs"]}
+        gone = 0
+        for folder in self._fs.listStatus(self._path()):
+            name = folder.getPath().getName()
+            for run in self._fs.listStatus(folder.getPath()) if name != "manifest" and folder.isDirectory() else []:
+                if f"{name}/{run.getPath().getName()}" not in used:
+                    gone += self._fs.delete(run.getPath(), True)
+        for n in numbers[:-KEEP]:
+            self._fs.delete(self._path("manifest", f"{n:09d}.json"), False)
+        return gone
 
 
 def replaced(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -99,6 +215,39 @@ def set_active(entities: DataFrame, events: DataFrame, ids: DataFrame, active: b
     return replaced(entities, new, ["id"]), events.unionByName(log)
 
 
+def removed_components(components: DataFrame, ids: DataFrame) -> DataFrame:
+    """Components without those of the given ids."""
+    return components.join(ids.select("id"), "id", "left_anti")
+
+
+def collection_created(collections: DataFrame, ident: str, name: str, description: str | None, at: str) -> DataFrame:
+    """One more collection; an id that is there already is an error."""
+    if not collections.filter(F.col("id") == ident).isEmpty():
+        raise ValueError(f"collection {ident} exists")
+    new = collections.sparkSession.createDataFrame([(ident, name, description)], "id string, name string, description string")
+    when = F.lit(at).cast("timestamp")
+    return collections.unionByName(new.withColumn("created_at", when).withColumn("updated_at", when))
+
+
+def collection_get(collections: DataFrame, ident: str) -> DataFrame:
+    """The collection, no row if there is none."""
+    return collections.filter(F.col("id") == ident)
+
+
+def collections_listed(collections: DataFrame) -> DataFrame:
+    """By name, in order of its bytes."""
+    return collections.orderBy("name", "id")
+
+
+def collection_updated(collections: DataFrame, ident: str, at: str, **values: str | None) -> DataFrame:
+    """Name or description changed; a missing id is an error."""
+    if collections.filter(F.col("id") == ident).isEmpty():
+        raise NotFound(ident)
+    hit = F.col("id") == ident
+    changed = {c: F.when(hit, F.lit(v)).otherwise(F.col(c)) for c, v in (values | {"updated_at": at}).items()}
+    return collections.withColumns(changed | {"updated_at": F.when(hit, F.lit(at).cast("timestamp")).otherwise(F.col("updated_at"))})
+
+
 def collection_deleted(collections: DataFrame, members: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A collection with its memberships."""
     return collections.join(ids.select("id"), "id", "left_anti"), members.join(ids.select(F.col("id").alias("collection_id")), "collection_id", "left_anti")
