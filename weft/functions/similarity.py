@@ -77,6 +77,11 @@ def band(a: Column, b: Column) -> Column:
     return F.when(r.between(0.8, 1.25), 1.0).when(r.between(0.5, 2.0), 0.5).otherwise(0.0)
 
 
+def structural(a: Column, b: Column) -> Column:
+    """Of two numbers of pages, 0.5 if one is missing."""
+    return F.when(a.isNull() | b.isNull(), 0.5).otherwise(band(a, b))
+
+
 def metadata_overlap(language: tuple, size: tuple, date: tuple) -> Column:
     """Mean of the signals both sides have, 0.5 if there are none."""
     lang = F.when(language[0].isNotNull() & language[1].isNotNull(), (language[0] == language[1]).cast("double"))

@@ -42,9 +42,10 @@ def by_tag_text(m: Model, tag: str) -> DataFrame:
     return m.active.join(rows, m.active.id == rows.entity_id, "left_semi")
 
 
-def versions(m: Model) -> DataFrame:
-    """all recorded versions, newest first within an entity by version."""
-    return m.raw("entities").select("id", "version", "updated_at", "is_active").distinct()
+def versions(m: Model, entity: str | None = None) -> DataFrame:
+    """the recorded versions of an entity, newest first; of all entities in no order."""
+    rows = m.raw("entities").select("id", "version", "updated_at", "is_active").distinct()
+    return rows if entity is None else rows.filter(F.col("id") == entity).orderBy(F.desc("version"), F.desc("updated_at"))
 
 
 def component_contains(m: Model, kind: str, text: str) -> DataFrame:
@@ -68,7 +69,7 @@ def related(m: Model, source: str | None = None, target: str | None = None, kind
 def events(m: Model, user: int | None = None) -> DataFrame:
     """the event log of a user (or all), newest first by ts then id."""
     e = m.raw("events")
-    return e.filter(F.col("user_id") == user) if user is not None else e
+    return e.filter(F.col("user_id") == user).orderBy(F.desc("ts"), "event_id") if user is not None else e
 
 
 def collections(m: Model) -> DataFrame:
@@ -118,6 +119,25 @@ def peers(m: Model) -> DataFrame:
     return both.join(m.active.select("id"), "id", "left_semi").join(peer, "peer_id", "left").distinct()
 
 
+def full_detail(m: Model, ids: DataFrame) -> DataFrame:
+    """all that is known of the given entities (column id), as rows (id, part, key, value, at): their
+    components, outgoing and incoming relationships, versions and merges. Rows, not nested lists:
+    a hub may have any number of them."""
+    k = ids.select("id").distinct()
+    c = m.components.select(F.col("entity_id").alias("id"), F.lit("component").alias("part"), F.col("component_type").alias("key"), F.col("data").alias("value"), F.col("created_at").alias("at"))
+    title = m.flat.select(F.col("id").alias("peer"), "title")
+
+    def side(own: str, other: str, part: str) -> DataFrame:
+        e = m.edges.select(F.col(own).alias("id"), F.lit(part).alias("part"), F.concat_ws(" ", "relationship_type", other).alias("key"), F.col(other).alias("peer"), F.col("created_at").alias("at"))
+        return e.join(k, "id", "left_semi").join(title, "peer", "left").select("id", "part", "key", F.col("title").alias("value"), "at")
+
+    v = versions(m).select("id", F.lit("version").alias("part"), F.col("version").cast("string").alias("key"), F.col("is_active").cast("string").alias("value"), F.col("updated_at").alias("at"))
+    h = merge_history(m).select(F.col("entity_id").alias("id"), F.lit("merge").alias("part"), F.col("id").alias("key"), F.col("strategy").alias("value"), F.col("logged_at").alias("at"))
+    own = [x.join(k, "id", "left_semi") for x in (c, v, h)]
+    out = own[0].unionByName(own[1]).unionByName(own[2])
+    return out.unionByName(side("source_id", "target_id", "outgoing")).unionByName(side("target_id", "source_id", "incoming")).distinct()
+
+
 def summaries(m: Model) -> DataFrame:
     """id, type, title, preview of at most 200 characters, tags, updated_at."""
     return m.flat.select("id", "entity_type", "title", F.substring(F.coalesce("content", F.lit("")), 1, 200).alias("preview"), F.array_join("tags", ", ").alias("tags"), "updated_at")
@@ -183,16 +203,44 @@ def tree_view(m: Model) -> DataFrame:
     return of.select("root", "kind", "child_id", "child_title").distinct().unionByName(types)
 
 
-def graph_all(m: Model, kinds: list[str]) -> DataFrame:
-    """The edges both of whose ends are active entities of the types, without repeats."""
+def tree_roots(m: Model, kinds: list[str] | None = None, tags: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(position, root, kind, child_id, child_title): collections by name, then a root per type in
+    the order in which the types were first made; at most `limit` roots. Types and tags choose the children of
+    type roots only. A row per child: a root may have any number of them."""
+    named = collections(m).select(F.col("collection_id").alias("rid"), F.col("title").alias("root"))
+    rows = m.flat.select("id", "title", "entity_type", "created_at", "tags")
+    if kinds:
+        rows = rows.filter(F.lower("entity_type").isin([k.lower() for k in kinds]))
+    if tags:
+        rows = rows.filter(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])))
+    first = rows.groupBy("entity_type").agg(F.min(F.struct("created_at", "id")).alias("first"))
+    order = named.select("rid", "root", F.lit("collection").alias("kind"), F.lit(None).cast("timestamp").alias("at"), F.col("root").alias("by"), F.col("rid").alias("then"))
+    order = order.unionByName(first.select(F.col("entity_type").alias("rid"), F.col("entity_type").alias("root"), F.lit("type").alias("kind"), F.col("first.created_at").alias("at"), F.lit("").alias("by"), F.col("first.id").alias("then")))
+    order = order.orderBy("kind", "by", "at", "then")
+    order = order.limit(limit) if limit else order
+    roots = order.withColumn("position", F.row_number().over(W.orderBy("kind", "by", "at", "then"))).select("position", "rid", "root", "kind")  # a row per root
+    title = m.flat.select(F.col("id").alias("child_id"), F.col("title").alias("child_title"))
+    of = m.members.select(F.col("collection_id").alias("rid"), F.col("entity_id").alias("child_id"), F.lit("collection").alias("kind")).join(title, "child_id")
+    typed = rows.select(F.col("entity_type").alias("rid"), F.col("id").alias("child_id"), F.lit("type").alias("kind"), F.col("title").alias("child_title"))
+    return roots.join(of.unionByName(typed), ["rid", "kind"]).select("position", "root", "kind", "child_id", "child_title")
+
+
+def graph_all(m: Model, kinds: list[str], limit: int | None = None) -> DataFrame:
+    """The edges both of whose ends are active entities of the types, without repeats; with a limit,
+    of the first `limit` nodes by id and the first `limit` edges."""
     nodes = m.active.filter(F.lower("entity_type").isin([k.lower() for k in kinds])).select("id")
+    nodes = nodes.orderBy("id").limit(limit) if limit else nodes
     inner = m.edges.join(nodes, m.edges.source_id == nodes.id, "left_semi").join(nodes, F.col("target_id") == nodes.id, "left_semi")
-    return inner.select("source_id", "target_id", "relationship_type").distinct()
+    out = inner.select("source_id", "target_id", "relationship_type").distinct()
+    return out.orderBy("source_id", "target_id", "relationship_type").limit(limit) if limit else out
 
 
-def timeline(m: Model) -> DataFrame:
-    """(id, entity_type, title, at): the Timeline attribute, else when the entity was made."""
-    return m.flat.select("id", "entity_type", "title", F.coalesce("happened_at", "created_at").alias("at"))
+def timeline(m: Model, kinds: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """(id, entity_type, title, at): the Timeline attribute, else when the entity was made; the first
+    `limit` in order of time."""
+    rows = m.flat.filter(F.lower("entity_type").isin([k.lower() for k in kinds])) if kinds else m.flat
+    out = rows.select("id", "entity_type", "title", F.coalesce("happened_at", "created_at").alias("at"))
+    return out.orderBy("at", "id").limit(limit) if limit else out
 
 
 BUCKETS = ["Today", "Yesterday", "This Week", "This Month", "Last 3 Months", "This Year", "Older"]

@@ -19,8 +19,6 @@ from weft.functions import similarity as X
 from weft.functions.keys import entity_key
 
 AUTO, REVIEW, THRESHOLD, COMPOSITE = 0.92, 0.78, 0.95, 0.78
-#: Letters of an edge of a title in the blocks of the registered SQL; near_titles has no blocks.
-EDGE = 6
 #: Titles on a side of a tile, and of a step within one.
 TILE, STEP = 4_096, 512
 
@@ -28,7 +26,7 @@ TILE, STEP = 4_096, 512
 def titled(flat: DataFrame) -> DataFrame:
     """(id, entity_type, title, norm, content, lang, size, day) of active entities with a title."""
     day = F.date_format("happened_at", "yyyy-MM-dd")
-    return flat.filter("title != 'Untitled'").select("id", "entity_type", "title", X.normalize_title(F.col("title")).alias("norm"), "content", F.col("lang_code").alias("lang"), F.col("size_bytes").alias("size"), day.alias("day"))
+    return flat.filter("title != 'Untitled'").select("id", "entity_type", "title", X.normalize_title(F.col("title")).alias("norm"), "content", F.col("lang_code").alias("lang"), F.col("size_bytes").alias("size"), day.alias("day"), F.lit(None).cast("bigint").alias("pages"))
 
 
 def classes(t: DataFrame, key: str) -> DataFrame:
@@ -100,13 +98,20 @@ def near_titles(t: DataFrame, threshold: float = THRESHOLD, thresholds: dict[str
     return pairs.withColumn("confidence", score).filter(F.col("confidence") >= least)
 
 
-def candidates(t: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def content_matches(t: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (id, canonical_id) whose contents' words overlap by at least the threshold; none where one is missing."""
+    side = lambda p, c: t.filter("content is not null and content != ''").select(F.col("id").alias(p), X.words(F.col("content")).alias(c))
+    score = X.jaccard(F.col("x"), F.col("y"))
+    return pairs.select("id", "canonical_id").join(side("id", "x"), "id").join(side("canonical_id", "y"), "canonical_id").select("id", "canonical_id", score.alias("confidence")).filter(F.col("confidence") >= threshold)
+
+
+def candidates(t: DataFrame, threshold: float = THRESHOLD, thresholds: dict[str, float] | None = None) -> DataFrame:
     """(id, canonical_id, confidence, strategy): per entity the first strategy of exact,
     normalized and fuzzy with a hit, of its hits the best, then the least id."""
     exact = classes(t, "title").withColumn("strategy", F.lit("exact")).withColumn("rank", F.lit(0))
     norm = classes(t, "norm").withColumn("strategy", F.lit("normalized")).withColumn("rank", F.lit(1))
     reps = t.groupBy("entity_type", "norm").agg(F.min("id").alias("id"))
-    near = near_titles(t, threshold)
+    near = near_titles(t, threshold, thresholds)
     a = reps.select("entity_type", F.col("norm").alias("a"), F.col("id").alias("ia"))
     b = reps.select("entity_type", F.col("norm").alias("b"), F.col("id").alias("ib"))
     both = near.join(a, ["entity_type", "a"]).join(b, ["entity_type", "b"])
@@ -118,14 +123,14 @@ def candidates(t: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def composite_scores(t: DataFrame, pairs: DataFrame) -> DataFrame:
     """Sub-scores and composite of given pairs (id, canonical_id)."""
-    side = lambda p: t.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "norm", "content", "lang", "size", "day")])
+    side = lambda p: t.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "norm", "content", "lang", "size", "day", "pages")])
     rows = pairs.select("id", "canonical_id").join(side("a"), F.col("id") == F.col("a_id")).join(side("b"), F.col("canonical_id") == F.col("b_id"))
     title = F.when(F.col("a_norm") == F.col("b_norm"), 1.0).otherwise(X.jaro_winkler_udf("a_norm", "b_norm"))
     missing = F.coalesce(F.col("a_content"), F.lit("")).eqNullSafe("") | F.coalesce(F.col("b_content"), F.lit("")).eqNullSafe("")
     content = F.when(missing, 0.5).otherwise(X.jaccard(X.words(F.col("a_content")), X.words(F.col("b_content"))))
     pair = lambda c: (F.col(f"a_{c}"), F.col(f"b_{c}"))
     rows = rows.withColumn("title_score", title).withColumn("content_score", content).withColumn("metadata_score", X.metadata_overlap(pair("lang"), pair("size"), pair("day")))
-    score = X.composite(F.col("title_score"), F.col("content_score"), F.col("metadata_score"), F.lit(0.5))
+    score = X.composite(F.col("title_score"), F.col("content_score"), F.col("metadata_score"), X.structural(F.col("a_pages"), F.col("b_pages")))
     return rows.select("id", "canonical_id", "title_score", "content_score", "metadata_score", score.alias("confidence"))
 
 
@@ -149,22 +154,47 @@ def moved_components(components: DataFrame, mapping: DataFrame) -> DataFrame:
     return components.join(m, "entity_id", "left").withColumn("entity_id", F.coalesce("canonical_id", "entity_id")).drop("canonical_id")
 
 
-def audit(mapping: DataFrame, components: DataFrame, at: str, strategy: str = "merge") -> DataFrame:
-    """A log row per merge with a snapshot of both sides' components."""
-    c = components.groupBy("entity_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "component_type", "data")))).alias("s"))
+_PART = "array<struct<id:string,component_type:string,data:string>>"
+_EDGE = "array<struct<source_id:string,target_id:string,relationship_type:string>>"
+
+
+def audit(mapping: DataFrame, components: DataFrame, at: str, strategy: str = "merge", edges: DataFrame | None = None) -> DataFrame:
+    """A log row per merge with a snapshot of both sides' components and of the merged one's outgoing edges."""
+    ids = mapping.select(F.explode(F.array("id", "canonical_id")).alias("entity_id")).distinct()
+    c = components.join(ids, "entity_id", "left_semi").groupBy("entity_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct("id", "component_type", "data")))).alias("s"))
     both = mapping.join(c.select(F.col("entity_id").alias("id"), F.col("s").alias("sa")), "id", "left").join(c.select(F.col("entity_id").alias("canonical_id"), F.col("s").alias("sb")), "canonical_id", "left")
+    if edges is None:
+        both = both.withColumn("ea", F.lit(None).cast("string"))
+    else:
+        e = edges.join(mapping.select(F.col("id").alias("source_id")), "source_id", "left_semi")
+        e = e.groupBy(F.col("source_id").alias("id")).agg(F.to_json(F.sort_array(F.collect_set(F.struct("source_id", "target_id", "relationship_type")))).alias("ea"))
+        both = both.join(e, "id", "left")
     return both.select(
         F.sha2(F.concat_ws("|", "id", "canonical_id"), 256).alias("id"), F.col("id").alias("source_id"), F.col("canonical_id").alias("target_id"), F.lit(strategy).alias("strategy"),
-        "confidence", F.lit(at).cast("timestamp").alias("logged_at"), F.to_json(F.struct("sa", "sb")).alias("snapshot"),
+        "confidence", F.lit(at).cast("timestamp").alias("logged_at"), F.to_json(F.struct("sa", "sb", "ea")).alias("snapshot"),
     )
 
 
-def undone(log: DataFrame, merge_id: str) -> tuple[DataFrame, DataFrame]:
-    """(restored components of the merged entity, the log without the merge)."""
-    item = "array<struct<id:string,component_type:string,data:string>>"
-    snap = log.filter(F.col("id") == merge_id).select("source_id", F.from_json("snapshot", f"struct<sa:string,sb:string>").alias("s"))
-    back = snap.select(F.col("source_id").alias("entity_id"), F.explode(F.from_json("s.sa", item)).alias("c")).select("c.id", "entity_id", "c.component_type", "c.data")
-    return back, log.filter(F.col("id") != merge_id)
+def undone(log: DataFrame, merge_id: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(components of both sides as they were, outgoing edges of the merged one, the log without the merge)."""
+    snap = log.filter(F.col("id") == merge_id).select("source_id", "target_id", F.from_json("snapshot", "struct<sa:string,sb:string,ea:string>").alias("s"))
+    sides = [snap.select(F.col(own).alias("entity_id"), F.explode(F.from_json(f"s.{part}", _PART)).alias("c")) for own, part in (("source_id", "sa"), ("target_id", "sb"))]
+    back = sides[0].unionByName(sides[1]).select("c.id", "entity_id", "c.component_type", "c.data")
+    return back, snap.select(F.explode(F.from_json("s.ea", _EDGE)).alias("e")).select("e.*"), log.filter(F.col("id") != merge_id)
+
+
+def import_merged(entities: DataFrame, components: DataFrame, incoming: DataFrame, mapping: DataFrame, at: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Imported entities that match one that is there (mapping: id of the import, canonical_id, confidence) replace
+    all its components and raise its version. (entities, components, events, log rows)."""
+    m = mapping.select(F.col("id").alias("entity_id"), "canonical_id")
+    new = incoming.join(m, "entity_id").drop("entity_id").withColumnRenamed("canonical_id", "entity_id")
+    hit = new.select("entity_id").distinct()
+    kept = components.join(hit, "entity_id", "left_anti").unionByName(new.select(*components.columns))
+    raised = entities.join(hit.select(F.col("entity_id").alias("id"), F.lit(True).alias("hit")), "id", "left")
+    raised = raised.withColumn("version", F.col("version") + F.col("hit").isNotNull().cast("int")).withColumn("updated_at", F.when(F.col("hit"), F.lit(at).cast("timestamp")).otherwise(F.col("updated_at"))).drop("hit")
+    when = F.lit(at).cast("timestamp")
+    events = hit.select(F.sha2(F.concat_ws("|", "entity_id", F.lit("EntityUpdated"), F.lit(at)), 256).alias("id"), F.lit("EntityUpdated").alias("event_type"), "entity_id", when.alias("timestamp"), F.lit("{}").alias("data"))
+    return raised.select(*entities.columns), kept, events, audit(mapping, components.unionByName(incoming.select(*components.columns)), at, "import")
 
 
 def history(log: DataFrame, entity: str | None = None) -> DataFrame:

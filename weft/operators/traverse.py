@@ -21,11 +21,11 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
     return {"outgoing": out, "incoming": back, "both": out.unionByName(back)}[direction]
 
 
-def traverse(entities: DataFrame, edges: DataFrame, start: str, direction: str = "outgoing", depth: int = 3, limit: int | None = 100, kind: str | None = None, entity_type: str | None = None) -> DataFrame:
+def traverse(entities: DataFrame, edges: DataFrame, start: str, direction: str = "outgoing", depth: int = 3, limit: int | None = 100, kind: str | None = None, entity_type: str | None = None, until: str | None = None) -> DataFrame:
     """(entity_id, depth, path, edges) of the active entities within `depth` hops.
 
     A breadth-first loop of joins, one per level: inactive nodes and other relationship types are
-    left out while it expands, other entity types only afterwards; of equal ways the outgoing one,
+    left out while it expands, other entity types only afterwards; it ends early when nothing new or `until` is found; of equal ways the outgoing one,
     then the least parent holds. The visited set is an anti-join, never a driver-side list."""
     active = entities.filter("is_active").select("id", "entity_type")
     if active.filter(F.col("id") == start).isEmpty():
@@ -42,17 +42,28 @@ def traverse(entities: DataFrame, edges: DataFrame, start: str, direction: str =
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if until is not None and not front.filter(F.col("entity_id") == until).isEmpty():
+            break
     found = seen.filter("depth > 0")
     if entity_type:
         found = found.join(active.filter(F.lower("entity_type") == entity_type.lower()).select(F.col("id").alias("entity_id")), "entity_id", "left_semi")
     return found.orderBy("depth", "entity_id").limit(limit) if limit else found
 
 
-def shortest_path(edges: DataFrame, a: str, b: str, most: int = 10) -> list[str] | None:
-    """One undirected shortest path, least in order of ids."""
+def shortest_path(edges: DataFrame, a: str, b: str) -> list[str] | None:
+    """One undirected shortest path of any length, least in order of ids; None if there is none."""
+    if a == b:
+        return [a]
     nodes = edges.select(F.col("source_id").alias("id")).union(edges.select("target_id")).distinct().withColumn("is_active", F.lit(True)).withColumn("entity_type", F.lit(""))
-    row = traverse(nodes, edges, a, "both", most, None).filter(F.col("entity_id") == b).select("path").first()
-    return row["path"] if row else ([a] if a == b else None)
+    if nodes.filter(F.col("id").isin(a, b)).count() < 2:
+        return None
+    row = traverse(nodes, edges, a, "both", 1 << 30, None, until=b).filter(F.col("entity_id") == b).select("path").first()
+    return row["path"] if row else None
+
+
+def service_paths(entities: DataFrame, edges: DataFrame, start: str, depth: int = 3, limit: int = 100) -> DataFrame:
+    """The paths to what is reached both ways, at most `limit`."""
+    return traverse(entities, edges, start, "both", depth, limit).select("path")
 
 
 def graph_from(entities: DataFrame, edges: DataFrame, start: str, depth: int = 3, limit: int = 100) -> tuple[DataFrame, DataFrame]:

@@ -32,6 +32,26 @@ def top_k(rows: DataFrame, vector: str, query: list[float], k: int, least: float
     return scored.drop(vector).orderBy(F.desc("score"), id_).limit(k)
 
 
+def search_entities(vectors: DataFrame, entities: DataFrame, query: list[float], k: int, least: float | None = None, kind: str | None = None) -> DataFrame:
+    """(id, entity_type, title, score): the k active entities nearest to a query vector, of one type if
+    given; vectors are (entity_id, vector) of one model, entities (id, entity_type, title)."""
+    rows = entities if kind is None else entities.filter(F.lower("entity_type") == kind.lower())
+    joined = vectors.select(F.col("entity_id").alias("id"), "vector").join(rows.select("id", "entity_type", "title"), "id")
+    return top_k(joined, "vector", query, k, least)
+
+
+def removed(vectors: DataFrame, keys: DataFrame) -> DataFrame:
+    """Vectors without those of the given entities (column entity_id; with column model only of that model)."""
+    return vectors.join(keys, [c for c in ("entity_id", "model") if c in keys.columns], "left_anti")
+
+
+def rebuilt(docs: DataFrame, config: str = "fold") -> DataFrame:
+    """(entity_id, model, vector, dimensions, error) for every entity with content; a text that cannot be
+    embedded has an error instead of a vector and keeps no other from it."""
+    made = docs.filter("content is not null and content != ''").select("entity_id", F.lit(config).alias("model"), provider(config)(F.col("content")).alias("vector"))
+    return made.withColumn("dimensions", F.when(F.col("vector").isNotNull(), F.size("vector"))).withColumn("error", F.when(F.col("vector").isNull(), "no vector"))
+
+
 def ranked(rows: DataFrame, score: str, best_first: str = "desc") -> DataFrame:
     """0-based rank of a top-k list (small by construction)."""
     key = F.desc(score) if best_first == "desc" else F.asc(score)
@@ -65,7 +85,7 @@ def embed(c: Column, d: int = 64) -> Column:
 
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: fold(t, d).tolist() if t else None)
+        return s.map(lambda t: fold(t.encode("utf-8", "replace").decode(), d).tolist() if t else None)
 
     return run(c)
 

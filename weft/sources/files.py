@@ -182,5 +182,30 @@ def undo_import(log: DataFrame, entities: DataFrame, import_id: str | None = Non
     return log.join(target.select("id"), "id", "left_anti"), entities.join(gone, "id", "left_anti")
 
 
+def import_actions(files: DataFrame, log: DataFrame) -> DataFrame:
+    """(path, content_hash, action): error for files without content, merged for contents the log knows or
+    another file of the import has (the least path makes the entity), created for the others."""
+    bad = files.filter("content_hash is null").select("path", "content_hash", F.lit("error").alias("action"))
+    good = files.filter("content_hash is not null")
+    first = good.groupBy("content_hash").agg(F.min("path").alias("first"))
+    known = log.select("content_hash").distinct().withColumn("known", F.lit(True))
+    rows = good.join(first, "content_hash").join(known, "content_hash", "left")
+    action = F.when(F.col("known").isNotNull() | (F.col("path") != F.col("first")), "merged").otherwise("created")
+    return rows.select("path", "content_hash", action.alias("action")).unionByName(bad)
+
+
+def import_counts(actions: DataFrame) -> DataFrame:
+    """(action, n)."""
+    return actions.groupBy("action").agg(F.count("*").alias("n"))
+
+
+def vault(spark: SparkSession, folder: str) -> DataFrame:
+    """The notes of a vault: Markdown files of the folder itself, parsed; a bad file is a row with its error."""
+    from weft.sources.parsers import imported
+
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "false").load(folder)
+    return imported(rows.select("path", "content"))
+
+
 def as_json(value) -> str:
     return json.dumps(value, ensure_ascii=False, default=str)

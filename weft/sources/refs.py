@@ -71,7 +71,7 @@ def strip_html(c: Column) -> Column:
 
 def resolved_refs(refs: DataFrame, flat: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, kind, target, entity_id): the least entity whose title (wiki links, mentions)
-    is the name, without case. An equality join: the theta join of containment is open_refs()."""
+    is the name, without case. An equality join: the theta join of containment is contained_refs."""
     names = refs.filter(F.col("kind").isin("wikilink", "mention")).withColumn("key", F.lower("target"))
     by = flat.groupBy(F.lower("title").alias("key")).agg(F.min("id").alias("entity_id"))
     return names.join(by, "key").select("doc_id", "kind", "target", "entity_id")
@@ -87,6 +87,27 @@ def contained_refs(refs: DataFrame, flat: DataFrame) -> DataFrame:
     return hit.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("doc_id", "kind", "target", F.col("id").alias("entity_id"))
 
 
+def path_refs(refs: DataFrame, flat: DataFrame) -> DataFrame:
+    """(doc_id, kind, target, entity_id): the least entity whose source path holds the path of a file or
+    section reference, without case. Joined on the path's last part, then verified."""
+    path = F.lower(F.regexp_replace(F.regexp_replace("target", "#.*$", ""), r"^(\./|/)+", ""))
+    last = lambda c: F.regexp_extract(c, r"([^/]*)$", 1)
+    asked = refs.filter(F.col("kind").isin("file", "section")).withColumn("path", path).filter("path != ''").withColumn("last", last(F.col("path")))
+    # a path that holds the reference ends in its last part or goes on after it; ends first, by key
+    held = flat.filter("source_path is not null").select("id", F.lower("source_path").alias("source"), last(F.lower("source_path")).alias("last"))
+    hit = asked.join(held, "last").filter(F.contains("source", F.col("path")))
+    return hit.groupBy("doc_id", "kind", "target").agg(F.min("id").alias("entity_id"))
+
+
+def url_edges(refs: DataFrame, owner: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, events) of external links: a References edge of the document's entity to itself (owner: doc_id,
+    entity_id) and an event with the address for each."""
+    rows = refs.filter("kind = 'url'").join(owner, "doc_id").select("entity_id", "target").distinct()
+    edges = rows.select(F.col("entity_id").alias("source_id"), F.col("entity_id").alias("target_id"), F.lit("References").alias("relationship_type")).distinct()
+    data = F.to_json(F.struct(F.col("target").alias("url"), F.lit(True).alias("external")))
+    return edges, rows.select(F.lit("RelationshipCreated").alias("event_type"), "entity_id", data.alias("data"))
+
+
 def new_edges(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """(source_id, target_id) not yet linked."""
     return pairs.distinct().join(edges.select("source_id", "target_id"), ["source_id", "target_id"], "left_anti")
