@@ -343,3 +343,79 @@ def test_plugins(tmp_path):
     assert r.get("ai", "m") == 1 and r.names("ai") == ["m"]
     r.deregister("ai", "m")
     assert r.active == {} and PL.sandboxed(lambda: 1 / 0) is None and PL.sandboxed(lambda: 3) == 3
+
+
+def test_snippet_takes_the_best_window(spark):
+    words = ["ledger"] + ["x"] * 50 + ["harbour"] + ["y"] * 5 + ["Ledger,"] + ["z"] * 60
+    text = lambda *a, **k: spark.createDataFrame([(" ".join(words),), ("none of them",), ("",)], "c string").select(K.snippet(F.col("c"), *a, **k)).collect()
+    best = text(["harbour", "ledger"])
+    assert best[0][0].startswith("<b>harbour</b> y") and "<b>Ledger,</b>" in best[0][0] and len(best[0][0].split()) == 32
+    assert best[1][0] == "none of them" and best[2][0] == ""
+    assert "<b>harbour</b>" in text([], prefixes=("harb",))[0][0]
+
+
+def test_import_merge_and_undo(spark):
+    ent = spark.createDataFrame([("a", "Note", True, T, T, 1), ("b", "Note", True, T, T, 4)], "id string, entity_type string, is_active boolean, created_at timestamp, updated_at timestamp, version bigint")
+    comp = spark.createDataFrame([("c1", "a", "Title", '"old"'), ("c2", "b", "Title", '"kept"')], "id string, entity_id string, component_type string, data string")
+    new = spark.createDataFrame([("n1", "new", "Title", '"fresh"'), ("n2", "new", "Content", '"text"')], comp.schema)
+    mapping = spark.createDataFrame([("new", "a", 0.97)], "id string, canonical_id string, confidence double")
+    edges = spark.createDataFrame([("new", "b", "References")], "source_id string, target_id string, relationship_type string")
+    e, c, ev, log = RS.import_merged(ent, comp, new, mapping, "2024-02-02")
+    assert {(r["id"], r["version"]) for r in e.collect()} == {("a", 2), ("b", 4)} and ev.first()["event_type"] == "EntityUpdated"
+    assert {(r["id"], r["entity_id"]) for r in c.collect()} == {("n1", "a"), ("n2", "a"), ("c2", "b")} and log.count() == 1
+    log = RS.audit(mapping, comp.union(new), "2024-02-02", edges=edges)
+    back, lines, rest = RS.undone(log, log.first()["id"])
+    assert {(r["id"], r["entity_id"]) for r in back.collect()} == {("c1", "a"), ("n1", "new"), ("n2", "new")}
+    assert [tuple(r) for r in lines.collect()] == [("new", "b", "References")] and rest.count() == 0
+
+
+def test_near_titles_against_brute_force(spark):
+    """Accents included, which SQL cannot check."""
+    rng = random.Random(21)
+    base = ["todavía falta un índice antiguo", "niemand weiß warum das schema", "the harbour keeps the ledger", "répertoire du moulin ancien"]
+    titles = sorted({"".join(ch for ch in rng.choice(base) if rng.random() > 0.12) for _ in range(60)})
+    t = spark.createDataFrame([("A", x) for x in titles], "entity_type string, norm string")
+    lev = lambda a, b: 1 - X_lev(a, b) / max(len(a.encode()), len(b.encode()))
+    expected = {(a, b) for k, a in enumerate(titles) for b in titles[k + 1 :] if min(len(a.encode()), len(b.encode())) >= 10 and max(X.jaro_winkler(a, b), lev(a, b)) >= 0.9}
+    assert {(r["a"], r["b"]) for r in RS.near_titles(t, 0.9).collect()} == expected and len(expected) > 20
+
+
+def X_lev(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_paths_of_any_length(spark):
+    e = spark.createDataFrame([(f"{k:02d}", f"{k + 1:02d}", "References") for k in range(14)] + [("x", "y", "References")], "source_id string, target_id string, relationship_type string")
+    assert G.shortest_path(e, "14", "00") == [f"{k:02d}" for k in range(14, -1, -1)]
+    assert G.shortest_path(e, "00", "x") is None and G.shortest_path(e, "00", "nobody") is None and G.shortest_path(e, "x", "x") == ["x"]
+
+
+def test_recognition_and_vault(spark, tmp_path):
+    from weft.operators import ocr as OC
+
+    key = "1" * 8 + "-1111-1111-1111-111111111111"
+    pages = spark.createDataFrame([(key, 1, b"one"), (key, 2, b"\xff"), (key, 3, None)], "entity_id string, page_no int, content binary")
+    got = {r["page_no"]: r for r in OC.recognised(pages).collect()}
+    assert got[1]["text"] == "one" and got[2]["confidence"] == 0.5 and got[3]["error"]
+    res = spark.createDataFrame([(key, 1, "bad", 40.0), (key, 1, "good", 0.9), (key, 2, "two", None), (None, 1, "x", 1.0)], "entity_id string, page_no int, text string, confidence double")
+    assert {json.loads(r["data"])["markdown"] for r in OC.content_components(res).collect()} == {"good", "two"}
+    assert OC.events(res).first()["confidence"] == pytest.approx(0.7) and OC.events(res.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        OC.recognised(pages, "none")
+    (tmp_path / "v" / "sub").mkdir(parents=True)
+    (tmp_path / "v" / "a.md").write_text("# A")
+    (tmp_path / "v" / "b.txt").write_text("B")
+    (tmp_path / "v" / "sub" / "c.md").write_text("# C")
+    assert [r["path"].rpartition("/")[2] for r in FS.vault(spark, str(tmp_path / "v")).collect()] == ["a.md"]
+
+
+def test_vectors_of_entities(spark):
+    vec = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("gone", [1.0, 0.0])], "entity_id string, vector array<float>")
+    ent = spark.createDataFrame([("a", "Note", "A"), ("b", "Article", "B")], "id string, entity_type string, title string")
+    assert [r["id"] for r in V.search_entities(vec, ent, [1.0, 0.0], 5).collect()] == ["a", "b"] and [r["id"] for r in V.search_entities(vec, ent, [1.0, 0.0], 5, kind="ARTICLE").collect()] == ["b"]
+    assert V.removed(vec, vec.filter("entity_id = 'a'").select("entity_id")).count() == 2

@@ -26,7 +26,7 @@ TILE, STEP = 4_096, 512
 def titled(flat: DataFrame) -> DataFrame:
     """(id, entity_type, title, norm, content, lang, size, day) of active entities with a title."""
     day = F.date_format("happened_at", "yyyy-MM-dd")
-    return flat.filter("title != 'Untitled'").select("id", "entity_type", "title", X.normalize_title(F.col("title")).alias("norm"), "content", F.col("lang_code").alias("lang"), F.col("size_bytes").alias("size"), day.alias("day"), F.lit(None).cast("bigint").alias("pages"))
+    return flat.filter("title != 'Untitled'").select("id", "entity_type", "title", X.normalize_title(F.col("title")).alias("norm"), "content", F.col("lang_code").alias("lang"), F.col("size_bytes").alias("size"), day.alias("day"))
 
 
 def classes(t: DataFrame, key: str) -> DataFrame:
@@ -122,7 +122,8 @@ def candidates(t: DataFrame, threshold: float = THRESHOLD, thresholds: dict[str,
 
 
 def composite_scores(t: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sub-scores and composite of given pairs (id, canonical_id)."""
+    """Sub-scores and composite of given pairs (id, canonical_id); t may have a number of pages."""
+    t = t if "pages" in t.columns else t.withColumn("pages", F.lit(None).cast("bigint"))
     side = lambda p: t.select(*[F.col(c).alias(f"{p}_{c}") for c in ("id", "norm", "content", "lang", "size", "day", "pages")])
     rows = pairs.select("id", "canonical_id").join(side("a"), F.col("id") == F.col("a_id")).join(side("b"), F.col("canonical_id") == F.col("b_id"))
     title = F.when(F.col("a_norm") == F.col("b_norm"), 1.0).otherwise(X.jaro_winkler_udf("a_norm", "b_norm"))
