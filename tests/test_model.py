@@ -145,7 +145,7 @@ def test_resolution(spark):
     assert RS.merged(edges, RS.classes(t, "title")).collect() == [("3", "9", "References")]
     comp = spark.createDataFrame([("c", "5", "Title", '"x"')], "id string, entity_id string, component_type string, data string")
     log = RS.audit(RS.classes(t, "title"), comp, "2024-01-01")
-    back, rest = RS.undone(log, log.first()["id"])
+    back, _, rest = RS.undone(log, log.first()["id"])
     assert [tuple(r) for r in back.collect()] == [("c", "5", "Title", '"x"')] and rest.count() == 0
     zone = spark.range(1).select(RS.decision(F.lit(0.5), F.lit(0.8)), RS.decision(F.lit(1.0), F.lit(0.1)), RS.decision(F.lit(0.5), F.lit(0.5))).first()
     assert tuple(zone) == ("review", "merge", "create")
