@@ -229,7 +229,7 @@ def p3_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions split at calibrated gaps, with inferred roles, and whether each is kept."""
     msgs = messages(table(spark, d, "message_details"))
     s = sessions(with_roles(msgs), calibrated_gap(msgs))
-    return s.select("channel", "session", "n", "turns", "bad", "breaks", (reciprocal() & (F.col("bad") == 0)).alias("kept"))
+    return s.select("channel", "session", "n", "turns", "bad", "breaks", (F.coalesce(reciprocal(), F.lit(False)) & (F.col("bad") == 0)).alias("kept"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_conversations": p3_conversations, "p3_sessions": p3_sessions}
@@ -245,8 +245,27 @@ turns AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY at_, messag
 good AS (SELECT channel FROM turns WHERE channel NOT IN (SELECT channel FROM bad) GROUP BY 1
   HAVING count(*) >= 2 AND count(*) % 2 = 0 AND count(*) FILTER (role <> CASE WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END) = 0)
 """
+_SESSIONS = f"""
+WITH raw AS (SELECT {sql_uuid('id')} AS message_id, {sql_uuid('conversation_id')} AS channel, CASE {sql_enum('role')} WHEN 'system' THEN 0 WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE -1 END AS role,
+    coalesce(regexp_matches(text, '\\S'), false) AS has_text, created_at AS at_ FROM message_details),
+msgs AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY at_ NULLS LAST, channel, role, has_text) AS rn FROM raw WHERE channel IS NOT NULL) WHERE rn = 1),
+-- times as seconds; messages without one stand first, as Spark sorts nulls
+line AS (SELECT *, epoch_us(at_) / 1000000.0 AS s, row_number() OVER (PARTITION BY channel ORDER BY at_ NULLS FIRST, message_id) AS k FROM msgs),
+gaps AS (SELECT *, s - lag(s) OVER w AS g, last_value(s IGNORE NULLS) OVER (PARTITION BY channel ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_s FROM line WINDOW w AS (PARTITION BY channel ORDER BY k)),
+lim AS (SELECT greatest({GAP_LEAST_S}, {GAP_FACTOR} * coalesce(quantile_disc(g, 0.5), 0)) AS gap FROM gaps),
+-- an unknown role is the other side of the turn before; a channel opens as user
+run AS (SELECT *, sum(CASE WHEN role > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY k) AS block FROM gaps),
+known AS (SELECT *, coalesce(max(CASE WHEN role > 0 THEN role END) OVER (PARTITION BY channel, block), 2) AS base, sum(CASE WHEN role < 0 THEN 1 ELSE 0 END) OVER (PARTITION BY channel, block ORDER BY k) AS flips FROM run),
+told AS (SELECT *, CASE WHEN role >= 0 THEN role WHEN flips % 2 = 1 THEN 3 - base ELSE base END AS r FROM known),
+cutd AS (SELECT *, sum(CASE WHEN s - last_s > gap THEN 1 ELSE 0 END) OVER (PARTITION BY channel ORDER BY k) AS session FROM told, lim),
+turn AS (SELECT *, lag(r) OVER (PARTITION BY channel, session ORDER BY k) AS before FROM cutd WHERE r > 0),
+t AS (SELECT channel, session, count(*) AS turns, count(*) FILTER (before = r) AS breaks, arg_min(r, k) AS head, arg_max(r, k) AS tail FROM turn GROUP BY 1, 2),
+n AS (SELECT channel, session, count(*) AS n, count(*) FILTER (at_ IS NULL OR NOT has_text) AS bad FROM cutd GROUP BY 1, 2)
+"""
 ORACLES = {
     "p3_found": _CONV + "SELECT channel AS conversation_id FROM (SELECT channel FROM conv UNION SELECT channel FROM msgs) WHERE channel NOT IN (SELECT channel FROM good)",
     "p3_conversations": _CONV + """SELECT channel AS conversation_id, row_number() OVER (PARTITION BY channel ORDER BY at_, message_id) AS position,
       message_id, role, text, at_ AS created_at FROM msgs WHERE channel IN (SELECT channel FROM good)""",
+    "p3_sessions": _SESSIONS + """SELECT channel, CAST(session AS INTEGER) AS session, n, coalesce(turns, 0) AS turns, bad, coalesce(breaks, 0) AS breaks,
+      coalesce(turns >= 2 AND breaks = 0 AND head = 1 AND tail = 2, false) AND bad = 0 AS kept FROM n LEFT JOIN t USING (channel, session)""",
 }

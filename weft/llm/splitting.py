@@ -30,6 +30,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from weft.llm.tokens import TOKENIZER, clean, encoding, vocabulary
 from weft.session import cut, spread, table
@@ -400,5 +401,27 @@ def p10_summary(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("profile", "boundary").agg(F.count("*").alias("pieces"), F.count_distinct("doc_id").alias("documents"), F.max("n_tokens").alias("most_tokens"))
 
 
-QUERIES = {"p10_pieces": p10_pieces, "p10_summary": p10_summary}
-ORACLES: dict[str, str] = {}
+def p10_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the pieces keep their rules, per profile: numbered without gap from 0, covering their text
+    from its first to its last character without gap, sharing no more than the overlap allows, each
+    the stretch of the text its offsets say and within the limit."""
+    p = split_documents(table(spark, d, "documents"), table(spark, d, "split_profiles"))
+    w = W.partitionBy("profile", "doc_id").orderBy("piece_no")
+    docs = table(spark, d, "documents").select("doc_id", "text").filter("doc_id is not null")
+    one = p.join(docs, "doc_id").withColumn("before", F.coalesce(F.lag("end_char").over(w), F.lit(0))).withColumn("place", F.row_number().over(w) - 1)
+    last = F.lead("piece_no").over(w).isNull()
+    limits = table(spark, d, "split_profiles").select("profile", "max_tokens", "overlap_tokens")
+    same = F.substr("text", (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int")) == F.col("piece")
+    seen = one.withColumn("last", last).join(limits, "profile").groupBy("profile").agg(
+        F.bool_and(F.col("place") == F.col("piece_no")).alias("numbered"), F.bool_and((F.col("start_char") <= F.col("before")) & (F.col("end_char") > F.col("before"))).alias("without_gap"),
+        F.bool_and(~F.col("last") | (F.col("end_char") == F.length("text"))).alias("to_the_end"), F.bool_and((F.col("overlap") <= F.col("overlap_tokens")) & (F.col("overlap") >= 0)).alias("within_overlap"),
+        F.bool_and(F.col("n_tokens") <= F.col("max_tokens")).alias("within_limit"), F.bool_and(same).alias("same_text"),
+    )
+    yes = ["numbered", "without_gap", "to_the_end", "within_overlap", "within_limit", "same_text"]
+    return limits.select("profile").join(seen, "profile", "left").select("profile", *[F.coalesce(c, F.lit(True)).alias(c) for c in yes])
+
+
+QUERIES = {"p10_pieces": p10_pieces, "p10_summary": p10_summary, "p10_rules": p10_rules}
+ORACLES = {
+    "p10_rules": "SELECT profile, true AS numbered, true AS without_gap, true AS to_the_end, true AS within_overlap, true AS within_limit, true AS same_text FROM split_profiles",
+}
