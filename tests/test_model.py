@@ -419,3 +419,25 @@ def test_vectors_of_entities(spark):
     ent = spark.createDataFrame([("a", "Note", "A"), ("b", "Article", "B")], "id string, entity_type string, title string")
     assert [r["id"] for r in V.search_entities(vec, ent, [1.0, 0.0], 5).collect()] == ["a", "b"] and [r["id"] for r in V.search_entities(vec, ent, [1.0, 0.0], 5, kind="ARTICLE").collect()] == ["b"]
     assert V.removed(vec, vec.filter("entity_id = 'a'").select("entity_id")).count() == 2
+
+
+def test_ignore_rules_as_expression(spark):
+    rules = [*FS.DEFAULT_IGNORES, "docs/*.md", "*.t?p", "log[0-9]", "!keep.tmp", "/top.txt", "a/**/z"]
+    paths = ["a/b.md", "docs/x.md", "docs/sub/x.md", "node_modules/x", "x/node_modules/y", "node_modules", "a.tmp", "keep.tmp", "k/keep.tmp", "log1", "log12", "top.txt", "b/top.txt", "a/q/z", ".git/x", "x.pyc", "dir.pyc/y", "plain"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    got = {r["p"]: r["x"] for r in df.select("p", FS.is_ignored(F.col("p"), rules).alias("x")).collect()}
+    assert got == {p: FS.ignored(p, rules) for p in paths}
+
+
+def test_sheets_and_deflated_pages():
+    import zlib
+
+    main = "xmlns='m' xmlns:r='http://r'"
+    book = {"xl/workbook.xml": f"<workbook {main}><sheets><sheet name='B' r:id='r2'/><sheet name='A' r:id='r1'/></sheets></workbook>", "xl/_rels/workbook.xml.rels": "<R><x Id='r1' Target='worksheets/sheet1.xml'/><x Id='r2' Target='worksheets/sheet2.xml'/></R>"}
+    book |= {"xl/worksheets/sheet1.xml": "<w><row r='1'><c r='A1'><v>no</v></c></row></w>", "xl/worksheets/sheet2.xml": "<w><row r='2'><c r='B2'><v>2</v></c><c r='AA2'><v>27</v></c></row></w>"}
+    assert parsed("b.xlsx", zipped(**book))[0][1]["Content"].split("\t")[1] == "2" and parsed("b.xlsx", zipped(**book))[0][1]["Content"].split("\t")[26] == "27"
+    page = zlib.compress(rb"BT (Hel\154o \(you\)) Tj [(Wor) -20 (ld)] TJ ET")
+    raw = b"%PDF-1.7\n1 0 obj << /Title (A \\) title) >> endobj\n2 0 obj << /Length 9 /Filter /FlateDecode >> stream\n" + page + b"\nendstream endobj"
+    assert parsed("p.pdf", raw)[0][1]["Content"] == "Hello (you)\nWorld" and parsed("p.pdf", raw)[0][1]["Title"] == "A ) title"
+    seen = list(P.image("i.png", b"text in it", lambda b: (b.decode(), 0.8)))[0][1]
+    assert seen["Content"] == "text in it" and seen["Provenance"]["confidence"] == 0.8

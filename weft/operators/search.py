@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,18 +19,26 @@ STOPWORDS = [
     "with", "by", "about", "into", "through", "during", "the", "a", "an", "and", "or", "but", "not", "no", "so", "if", "then", "than", "too", "very", "just",
     "like", "also", "there", "here",
 ]
-_PLAIN = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_BASE = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _accents() -> tuple[str, str]:
+    """The Latin letters with marks and their plain ones, by canonical decomposition."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for a, z in ((0xC0, 0x250), (0x1E00, 0x1F00)) for c in range(a, z)]
+    kept = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isascii()]
+    return "".join(c for c, _ in kept), "".join(d for _, d in kept)
+
+
+_PLAIN, _BASE = _accents()
 
 
 def tokens(c: Column) -> Column:
-    """Lower-case words of letters and digits without the accents of western languages."""
-    folded = F.lower(F.translate(F.coalesce(c, F.lit("")), _PLAIN, _BASE))
+    """Lower-case words of letters and digits without the accents of Latin letters, set or combining."""
+    folded = F.lower(F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), "[\\u0300-\\u036f]", ""), _PLAIN, _BASE))
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def sql_tokens(c: str) -> str:
-    return f"list_filter(string_split_regex(lower(translate(coalesce({c}, ''), '{_PLAIN}', '{_BASE}')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
+    return f"list_filter(string_split_regex(lower(translate(regexp_replace(coalesce({c}, ''), '[\\x{{300}}-\\x{{36f}}]', '', 'g'), '{_PLAIN}', '{_BASE}')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
 def search_docs(flat: DataFrame) -> DataFrame:
@@ -121,7 +130,7 @@ def parse(query: str):
             return inner
         if kind is None or kind == ")" or text in ("AND", "OR", "NOT"):
             raise ValueError("syntax error in query")
-        words = [w for w in re.split(r"[^\w]+|_", text.translate(str.maketrans(_PLAIN, _BASE)).lower()) if w]
+        words = [w for w in re.split(r"[^\w]+|_", re.sub("[\u0300-\u036f]", "", text).translate(str.maketrans(_PLAIN, _BASE)).lower()) if w]
         if kind == "word" and text.endswith("*"):
             return ("prefix", words[0])
         return ("phrase", words) if len(words) > 1 else ("term", words[0] if words else "")

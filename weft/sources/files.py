@@ -5,7 +5,9 @@ from __future__ import annotations
 import fnmatch
 import json
 import os
+import re
 import sqlite3
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +18,9 @@ DEFAULT_IGNORES = [
 ]
 
 
-def ignore_patterns(root: str, global_file: str | None = None) -> list[str]:
-    """.kosignore, else .gitignore, else a global file, else the defaults."""
-    for path in (os.path.join(root, ".kosignore"), os.path.join(root, ".gitignore"), global_file):
+def ignore_patterns(root: str, global_file: str | None = None, names: tuple = (".gitignore",)) -> list[str]:
+    """The first ignore file of these names in the root, else a global file, else the defaults."""
+    for path in (*[os.path.join(root, n) for n in names], global_file):
         if path and os.path.isfile(path):
             with open(path) as f:
                 return [x.strip() for x in f if x.strip() and not x.lstrip().startswith("#")]
@@ -40,14 +42,44 @@ def ignored(path: str, patterns: list[str]) -> bool:
     return out
 
 
+def _glob(pattern: str, any_: str) -> str:
+    """A shell pattern as a regular expression in which * is any_."""
+    out, k = "", 0
+    while k < len(pattern):
+        c, k = pattern[k], k + 1
+        end = pattern.find("]", k + 1) if c == "[" else -1
+        if end > 0:
+            inner, k = pattern[k:end].replace("\\", "\\\\"), end + 1
+            out += "[" + ("^" + inner[1:] if inner.startswith("!") else inner) + "]"
+        else:
+            out += any_ if c == "*" else any_[:-1] if c == "?" else re.escape(c)
+    return out
+
+
+def is_ignored(path: Column, patterns: list[str]) -> Column:
+    """ignored() as an expression: one match for each run of patterns of one kind."""
+    out = F.lit(False)
+    for keep, run in groupby(patterns, lambda p: p.startswith("!")):
+        each = []
+        for p in run:
+            p = p.removeprefix("!")
+            if p.endswith("/"):
+                each.append(f"(?:^|/){_glob(p[:-1].lstrip('/'), '[^/]*')}/")
+            elif "/" in p:
+                each.append(f"^{_glob(p.lstrip('/'), '.*')}$")
+            else:
+                each.append(f"(?:^|/){_glob(p, '[^/]*')}(?:/|$)")
+        out = F.when(path.rlike("(?s)" + "|".join(each)), not keep).otherwise(out)
+    return out
+
+
 def files(spark: SparkSession, root: str, recursive: bool = True, patterns: list[str] | None = None) -> DataFrame:
     """Path, modificationTime, length and content of the files below a folder, without the ignored
     ones. Contents are only read if a later step needs the column."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     rules = ignore_patterns(root) if patterns is None else patterns
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + os.path.abspath(root) + "/", "")
-    drop = F.udf(lambda p: ignored(p, rules), "boolean")
-    return rows.filter(~drop(relative))
+    return rows.filter(~is_ignored(relative, rules))
 
 
 def extension(path: Column) -> Column:

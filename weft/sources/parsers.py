@@ -14,6 +14,7 @@ import json
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -190,15 +191,41 @@ def _xlsx(raw: bytes) -> str:
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         shared = ["".join(t.text or "" for t in si.iter() if _local(t) == "t") for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")) if _local(si) == "si"]
-    sheet = sorted(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))[0]
-    rows = []
+    sheet = _first_sheet(z)
+    rows: dict[int, list] = {}
     for row in (r for r in ElementTree.fromstring(z.read(sheet)).iter() if _local(r) == "row"):
-        cells = []
+        cells: list[str] = []
         for c in (c for c in row if _local(c) == "c"):
             v = "".join(x.text or "" for x in c.iter() if _local(x) in ("v", "t"))
+            place = _column(c.get("r"))
+            cells += [""] * (place - len(cells)) if place is not None else []
             cells.append(shared[int(v)] if c.get("t") == "s" and v else v)
-        rows.append("\t".join(cells))
-    return "\n".join(rows)
+        rows[int(row.get("r") or len(rows) + 1)] = cells
+    return "\n".join("\t".join(rows[k]) for k in sorted(rows))
+
+
+def _column(ref: str | None) -> int | None:
+    """Place of a cell from 0 by the letters of its reference."""
+    n = 0
+    for ch in re.match(r"[A-Z]*", ref or "")[0]:
+        n = 26 * n + ord(ch) - 64
+    return n - 1 if n else None
+
+
+def _first_sheet(z: zipfile.ZipFile) -> str:
+    """The file of the workbook's first sheet; without a workbook the first by number."""
+    names = z.namelist()
+    if "xl/workbook.xml" in names and "xl/_rels/workbook.xml.rels" in names:
+        first = next((e for e in ElementTree.fromstring(z.read("xl/workbook.xml")).iter() if _local(e) == "sheet"), None)
+        ident = next((v for k, v in first.attrib.items() if k.endswith("}id")), None) if first is not None else None
+        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            if r.get("Id") == ident:
+                target = r.get("Target", "")
+                path = target.lstrip("/") if target.startswith("/") else "xl/" + target
+                if path in names:
+                    return path
+    number = lambda n: int((re.search(r"(\d+)\.xml$", n) or [0, 0])[1])
+    return min((n for n in names if n.startswith("xl/worksheets/sheet")), key=number)
 
 
 def _pptx(raw: bytes) -> str:
@@ -329,20 +356,62 @@ def json_file(path: str, raw: bytes) -> Parsed:
         yield "Article", {"Title": _stem(path), "Content": json.dumps(value, separators=(",", ":"), ensure_ascii=False), "Provenance": {"source": path, "format": "json"}}, []
 
 
-def image(path: str, raw: bytes) -> Parsed:
-    """What is known without recognition."""
+def image(path: str, raw: bytes, recognise: Callable[[bytes], tuple[str, float]] | None = None) -> Parsed:
+    """The image's facts and, with a recogniser (bytes to text and confidence), its text."""
     kind = path.rsplit(".", 1)[-1].lower().replace("jpg", "jpeg")
-    yield "Image", {"Title": _stem(path), "BinaryContent": {"reference": path, "mime": f"image/{kind}", "size": len(raw)}, "Provenance": {"source": path, "format": "image"}}, []
+    parts = {"Title": _stem(path), "BinaryContent": {"reference": path, "mime": f"image/{kind}", "size": len(raw)}, "Provenance": {"source": path, "format": "image"}}
+    if recognise is not None:
+        text, confidence = recognise(raw)
+        if text.strip():
+            parts["Content"] = text
+            parts["Provenance"]["confidence"] = confidence
+    yield "Image", parts, []
+
+
+_LITERAL = rb"\(((?:[^()\\]|\\.)*)\)"
+_BARE = rb"\((?:[^()\\]|\\.)*\)"
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def _pdf_string(raw: bytes) -> str:
+    """A literal string: escapes and octal codes resolved; UTF-16 if it says so."""
+
+    def one(m: re.Match) -> bytes:
+        e = m[1]
+        return bytes([int(e, 8) & 255]) if e[:1].isdigit() else _ESCAPES.get(e, b"" if e in b"\r\n" else e)
+
+    plain = re.sub(rb"\\([0-7]{1,3}|.)", one, raw, flags=re.S)
+    return plain[2:].decode("utf-16-be", "replace") if plain[:2] == b"\xfe\xff" else plain.decode("latin-1")
+
+
+def _pdf_streams(raw: bytes) -> Iterator[bytes]:
+    """The streams of a file, deflated ones unpacked; of other filters none."""
+    for m in re.finditer(rb"<<((?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n(.*?)\r?\nendstream", raw, re.S):
+        if b"/FlateDecode" in m[1]:
+            try:
+                yield zlib.decompressobj().decompress(m[2])
+            except zlib.error:
+                continue
+        elif b"/Filter" not in m[1]:
+            yield m[2]
 
 
 def pdf(path: str, raw: bytes) -> Parsed:
-    """Metadata and the text of uncompressed streams; without text no Content."""
+    """Metadata and the text shown by plain and deflated streams, a line for each operator; without text no Content."""
     parts = {"Title": _stem(path), "BinaryContent": {"reference": path, "mime": "application/pdf", "size": len(raw)}, "Language": "en", "Provenance": {"source": path, "format": "pdf"}}
-    if t := re.search(rb"<dc:title>.*?<rdf:li[^>]*>(.*?)</rdf:li>", raw, re.S) or re.search(rb"/Title\s*\(((?:[^()\\]|\\.)*)\)", raw):
+    if t := re.search(rb"<dc:title>.*?<rdf:li[^>]*>(.*?)</rdf:li>", raw, re.S):
         parts["Title"] = t[1].decode("utf-8", "replace")
-    shown = re.findall(rb"\(((?:[^()\\]|\\.)*)\)\s*(?:Tj|')", raw)
-    if shown:
-        parts["Content"] = "\n".join(x.decode("latin-1") for x in shown)
+    elif t := re.search(rb"/Title\s*" + _LITERAL, raw):
+        parts["Title"] = _pdf_string(t[1])
+    shown = []
+    for stream in [*_pdf_streams(raw)] or [raw]:
+        for m in re.finditer(_LITERAL + rb"\s*(?:Tj|'|\")|\[((?:[^\[\]()]|" + _BARE + rb")*)\]\s*TJ", stream, re.S):
+            if m[1] is not None:
+                shown.append(_pdf_string(m[1]))
+            else:
+                shown.append("".join(_pdf_string(x) for x in re.findall(_LITERAL, m[2])))
+    if any(x.strip() for x in shown):
+        parts["Content"] = "\n".join(shown)
     yield "Article", parts, []
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 LINK = r"\[([^\]]*)\]\(([^)\s]+)[^)]*\)"
 WIKI = r"\[\[([^\]]+)\]\]"
@@ -78,13 +77,17 @@ def resolved_refs(refs: DataFrame, flat: DataFrame, edges: DataFrame) -> DataFra
 
 
 def contained_refs(refs: DataFrame, flat: DataFrame) -> DataFrame:
-    """The name within a title's words: joined on the name's first word, then verified."""
-    word = lambda c: F.lower(F.regexp_extract(c, r"([\p{L}\p{N}]+)", 1))
-    names = refs.filter(F.col("kind").isin("wikilink", "mention")).withColumn("w", word(F.col("target")))
-    titles = flat.select("id", F.lower("title").alias("t"), F.explode(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"))).alias("w"))
-    hit = names.join(titles, "w").filter(F.contains("t", F.lower("target")))
-    w = W.partitionBy("doc_id", "kind", "target").orderBy("id")
-    return hit.withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("doc_id", "kind", "target", F.col("id").alias("entity_id"))
+    """The name within a title whose words hold the name's first word: joined on the rarest of
+    the words that must stand whole in the title (all but the last), then verified."""
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    names = refs.filter(F.col("kind").isin("wikilink", "mention")).withColumn("ws", words(F.col("target"))).filter(F.size("ws") > 0)
+    titles = flat.select("id", F.lower("title").alias("t"), F.array_distinct(words(F.col("title"))).alias("tw"))
+    held = titles.select("id", "t", "tw", F.explode("tw").alias("w"))
+    often = held.groupBy("w").agg(F.count("*").alias("n"))
+    each = names.select("doc_id", "kind", "target", F.col("ws")[0].alias("first"), F.explode(F.slice("ws", F.lit(1), F.greatest(F.size("ws") - 1, F.lit(1)))).alias("w"))
+    rare = each.join(often, "w", "left").groupBy("doc_id", "kind", "target", "first").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))["w"].alias("w"))
+    hit = rare.join(held, "w").filter(F.contains("t", F.lower("target")) & F.array_contains("tw", F.col("first")))
+    return hit.groupBy("doc_id", "kind", "target").agg(F.min("id").alias("entity_id"))
 
 
 def path_refs(refs: DataFrame, flat: DataFrame) -> DataFrame:

@@ -11,16 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from weft.operators import orphans, search, vectors, wide
 from weft.operators.store import Store
-from weft.sources.files import DEFAULT_IGNORES, ignored
+from weft.sources.files import DEFAULT_IGNORES, is_ignored
 from weft.sources.parsers import imported
 
 
 def watched(spark: SparkSession, folder: str) -> DataFrame:
     """New and changed files of a folder as a stream (path, modificationTime, length, content)."""
     rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(folder)
-    root = os.path.abspath(folder)
-    drop = F.udf(lambda p: ignored(p.replace("file:", "").replace("//", "/").removeprefix(root + "/"), DEFAULT_IGNORES), "boolean")
-    return rows.filter(~drop("path"))
+    relative = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + os.path.abspath(folder) + "/", "")
+    return rows.filter(~is_ignored(relative, DEFAULT_IGNORES))
 
 
 def import_stream(spark: SparkSession, folder: str, store: Store, checkpoint: str, once: bool = True) -> StreamingQuery:
