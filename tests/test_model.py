@@ -327,7 +327,9 @@ def test_refs_and_chat(spark):
     assert {(r["target"], r["entity_id"]) for r in XR.contained_refs(XR.markdown_refs(d), flat).collect()} == {("Foo Bar", "1"), ("foo", "1")}
     rows = [{"id": "a", "title": "A", "content": "c" * 300}, {"id": "b", "title": "B", "content": ""}]
     assert [c["number"] for c in C.citations("as in [1]", rows)] == [1] and len(C.citations("[1]", rows)[0]["snippet"]) == 200
-    assert "[1]" in C.mock_answer(rows) and C.mock_answer([])
+    assert "[1]" in "".join(C.mock_answer("", rows)) and "".join(C.mock_answer("", []))
+    whole = C.prompt([{"block": "  Type: Note\n"}, {"block": "  Type: Tool\n"}], "why?", "recent")
+    assert "[1]\n  Type: Note\n" in whole and "[2]\n  Type: Tool\n" in whole and "changed last" in whole and whole.endswith("Question: why?\n") and "(no entities)" in C.prompt([], "why?")
 
 
 def test_plugins(tmp_path):
@@ -441,3 +443,21 @@ def test_sheets_and_deflated_pages():
     assert parsed("p.pdf", raw)[0][1]["Content"] == "Hello (you)\nWorld" and parsed("p.pdf", raw)[0][1]["Title"] == "A ) title"
     seen = list(P.image("i.png", b"text in it", lambda b: (b.decode(), 0.8)))[0][1]
     assert seen["Content"] == "text in it" and seen["Provenance"]["confidence"] == 0.8
+
+
+def test_chat_is_kept_as_one_change(spark, tmp_path):
+    from weft.plans.model import Model
+
+    m, store = Model(spark, "/root/testdata/sf0.001"), ST.Store(spark, str(tmp_path))
+    out = C.chat(m, "Which harbour keeps the ledger?", store=store, at="2024-01-01")
+    again = C.chat(m, "And the lantern?", store=store, conversation=out["conversation_id"], at="2024-01-02")
+    assert again["conversation_id"] == out["conversation_id"] and store.version("entities") == store.version("events") == 2
+    kinds = [r["entity_type"] for r in store.read("entities").collect()]
+    assert sorted(kinds) == ["Conversation"] + ["Message"] * 4 and store.read("relationships").count() == 4
+    told = [json.loads(r["data"])["role"] for r in store.read("components").filter("component_type = 'MessageContent'").collect()]
+    assert sorted(told) == ["assistant"] * 2 + ["user"] * 2
+    steps = list(C.chat_stream(m, "Which harbour keeps the ledger?"))
+    assert [k for k, _ in steps][:3] == ["status", "status", "delta"] and steps[-1][0] == "done" and "".join(x for k, x in steps if k == "delta") == steps[-1][1]["answer"] == out["answer"]
+    assert list(C.chat_stream(m, "harbour", cancelled=lambda: True))[-1] == ("cancelled", "")
+    with pytest.raises(ValueError):
+        C.chat(m, "x", provider="none")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weft.plans.stars import components
-from weft.session import cut, release
+from weft.session import cut, release, sized
 
 #: Most nodes of a component that one task traverses.
 BOUND = 50_000
@@ -162,10 +162,10 @@ def hierarchy(links: DataFrame, bound: int = BOUND, paths: bool = True, uuids: b
     and descendants if paths is false."""
     up = cut(parents(links))
     own = components(up.filter("parent is not null"), "node", "parent", uuids)
-    placed = cut(up.join(own, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    sizes = placed.groupBy("component").agg(F.count("*").alias("n"))
-    large = sizes.filter(F.col("n") > bound).select("component")
-    every_small = large.isEmpty()
+    with sized(up.sparkSession, up.count()):
+        placed = cut(up.join(own, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        large = placed.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > bound).select("component")
+        every_small = large.isEmpty()
     small = placed if every_small else placed.join(large, "component", "left_anti")
     small = small.repartition("component").sortWithinPartitions("component").select("component", "node", "parent")
     out = small.mapInPandas(_small(paths), _OUT)

@@ -12,9 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weft.session import cut, release
-
-MAX_ROUNDS = 60
+from weft.session import cut, release, sized
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -59,13 +57,10 @@ def components(edges: DataFrame, a: str, b: str, uuids: bool = False) -> DataFra
     put, get = (packed, unpacked) if uuids else (lambda c: c, lambda c: c)
     now = edges.select(put(F.col(a)).alias("x"), put(F.col(b)).alias("y")).filter("x is not null and y is not null and x != y")
     now = cut(now.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    for _ in range(MAX_ROUNDS):
-        if not unfinished(now):
-            break
-        before, now = now, cut(small_star(large_star(now)))
-        release(before)
-    else:
-        raise RuntimeError(f"star contraction has not ended after {MAX_ROUNDS} rounds")
+    with sized(now.sparkSession, 2 * now.count()):
+        while unfinished(now):
+            before, now = now, cut(small_star(large_star(now)))
+            release(before)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     every = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
     return every.select(get(F.col("node")).alias("node"), get(F.col("component")).alias("component"))

@@ -36,6 +36,13 @@ query("conversations_recent", r""", hm AS (SELECT DISTINCT source_id, target_id
 SELECT f.id AS conversation_id, f.title, count(*) AS messages, max(t.created_at) AS last_message_at FROM hm JOIN flat f ON f.id = source_id LEFT JOIN flat t ON t.id = target_id GROUP BY 1, 2
 ORDER BY 4 DESC NULLS LAST, 1 LIMIT 20""")(lambda m: C.conversations_list(m).orderBy(F.col("last_message_at").desc_nulls_last(), "conversation_id").limit(20).select("conversation_id", "title", "messages", "last_message_at"))
 
+query("conversation_view", """, hm AS (SELECT DISTINCT source_id, target_id FROM edge WHERE relationship_type = 'HasMessage'),
+told AS (SELECT entity_id, arg_max(struct_pack(r := json_extract_string(data, '$.role'), t := coalesce(CASE WHEN json_type(data, '$.content') NOT IN ('NULL') THEN json_extract_string(data, '$.content') END, json_extract_string(data, '$.text'))), (version, created_at, id)) AS m
+  FROM comp WHERE component_type = 'MessageContent' AND json_valid(data) AND coalesce(json_extract_string(data, '$.content'), json_extract_string(data, '$.text')) IS NOT NULL GROUP BY 1),
+rated AS (SELECT entity_id, arg_max(json_extract_string(data, '$.rating'), (created_at, version, id)) AS rating FROM comp WHERE component_type = 'Provenance' AND json_valid(data) AND json_extract_string(data, '$.rating') IS NOT NULL GROUP BY 1)
+SELECT source_id AS conversation_id, target_id AS message_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY f.created_at, target_id) AS INTEGER) AS position, told.m.r AS role, told.m.t AS text, rated.rating
+FROM hm JOIN flat f ON f.id = target_id LEFT JOIN told ON told.entity_id = target_id LEFT JOIN rated ON rated.entity_id = target_id""")(C.conversation_view)
+
 # --- lookups by value ------------------------------------------------------------------------
 _least = lambda m: m.active.agg(F.min("id")).first()[0]
 _source = lambda m: m.edges.agg(F.min("source_id")).first()[0]

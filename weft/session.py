@@ -6,7 +6,8 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+@contextmanager
+def sized(spark: SparkSession, rows: int, per: int = 100_000) -> Iterator[None]:
+    """Shuffles of eager steps over `rows` short rows in as many partitions as they need, at least one for
+    each core and never more than the session's setting: many tiny ones cost more than the rows."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), max(spark.sparkContext.defaultParallelism, -(-rows // per))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder for checkpoints: the one the cluster names in spark.checkpoint.dir,
     else one already set, else (tests on one machine only) a temporary folder."""
