@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weft.functions.keys import entity_key, sql_uuid
 from weft.plans.stars import components
-from weft.session import table
+from weft.session import cut, table
 
 THRESHOLD = 0.78
 
@@ -36,8 +36,9 @@ def match_groups(log: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def group_sizes(log: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(group_id, members, links): the size of each group and its number of distinct links."""
-    links = match_links(log, threshold)
-    groups = match_groups(log, threshold)
+    links = cut(match_links(log, threshold))
+    found = components(links, "a", "b", uuids=True)
+    groups = cut(found.select(F.col("node").alias("entity_id"), F.col("component").alias("group_id")))
     of = groups.groupBy("group_id").agg(F.count("*").alias("members"))
     per = links.join(groups, links.a == groups.entity_id).groupBy("group_id").agg(F.count("*").alias("links"))
     return of.join(per, "group_id")
