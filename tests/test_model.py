@@ -461,3 +461,24 @@ def test_chat_is_kept_as_one_change(spark, tmp_path):
     assert list(C.chat_stream(m, "harbour", cancelled=lambda: True))[-1] == ("cancelled", "")
     with pytest.raises(ValueError):
         C.chat(m, "x", provider="none")
+
+
+def test_cut_tables_are_released(spark, tmp_path):
+    from weft import session as SE
+
+    SE.release_all(spark)
+    a = SE.cut(spark.range(5))
+    b = SE.cut(spark.range(3))
+    SE.release(a)
+    assert b.count() == 3 and SE.release_all(spark) == 1 and SE.release_all(spark) == 0
+    spark.range(4).write.parquet(str(tmp_path / "in.parquet"))
+    made = []
+    make = lambda: made.append(1) or spark.read.parquet(str(tmp_path / "in.parquet"))
+    for expected in (1, 1):
+        assert SE.kept(spark, str(tmp_path), "x", make).count() == 4 and len(made) == expected
+    spark.range(9).write.parquet(str(tmp_path / "more.parquet"))  # the directory changes
+    assert SE.kept(spark, str(tmp_path), "x", make).count() == 4 and len(made) == 2
+    SE.release_all(spark)  # a removed table is made again
+    assert SE.kept(spark, str(tmp_path), "x", make).count() == 4 and len(made) == 3
+    with SE.sized(spark, 10):
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) <= 4

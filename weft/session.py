@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
-import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,16 +68,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        named = os.path.join(tempfile.gettempdir(), "weft-checkpoints")
+        named = tempfile.mkdtemp(prefix="weft-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     sc.setCheckpointDir(named)
     return named
 
 
+_CUT: set[tuple[str, str]] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as a table in the shared checkpoint folder and read back: its lineage ends
     there, any executor can read it, and it is compressed, unlike checkpoint()'s files."""
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/weft-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _CUT.add((df.sparkSession.sparkContext.applicationId, path))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out
@@ -101,13 +107,25 @@ def kept(spark: SparkSession, directory: str, name: str, make: Callable[[], Data
     return _KEPT[key][1]
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _CUT.discard((spark.sparkContext.applicationId, path))
+
+
 def release(df: DataFrame) -> None:
     """Removes the table behind a cut that is no longer needed, and lets the driver notice the
     shuffles that went before it, which otherwise stay on disk until its next collection."""
     path = getattr(df, "_weft_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+        _remove(df.sparkSession, path)
         gc.collect()
-        jvm.System.gc()
+        df.sparkSession._jvm.System.gc()
+
+
+def release_all(spark: SparkSession) -> int:
+    """Removes every table that cuts of this session have left, once their results are written; how many there were."""
+    own = [p for a, p in _CUT if a == spark.sparkContext.applicationId]
+    for path in own:
+        _remove(spark, path)
+    return len(own)
