@@ -482,3 +482,14 @@ def test_cut_tables_are_released(spark, tmp_path):
     assert SE.kept(spark, str(tmp_path), "x", make).count() == 4 and len(made) == 3
     with SE.sized(spark, 10):
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) <= 4
+
+
+def test_entry_needs_no_session():
+    """The driver may ask for queries and SQL before there is a session."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as E; q, o = E.queries(), E.oracle_sql(); assert set(o) <= set(q) and len(q) > 90; print('fine')"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120).stdout.strip() == "fine"

@@ -198,9 +198,9 @@ l{k} AS (SELECT h."to" AS id, {k} AS depth, arg_min(f.path || '>' || h."to", (h.
   FROM l{k - 1} f JOIN hop h ON h."at" = f.id WHERE h."to" NOT IN ({' UNION ALL '.join(f'SELECT id FROM l{j}' for j in range(k))}) GROUP BY 1)"""
     for k in (1, 2, 3)
 )
-_edge_text = F.transform("edges", lambda e: F.concat(F.lit(";"), F.concat_ws("|", e["source_id"], e["target_id"], e["relationship_type"])))
+_edge_text = lambda: F.transform("edges", lambda e: F.concat(F.lit(";"), F.concat_ws("|", e["source_id"], e["target_id"], e["relationship_type"])))
 query("traverse_paths", _LEVELS + " SELECT id AS entity_id, depth, path, edges FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3)")(
-    lambda m: _go(m, "both").select("entity_id", "depth", F.array_join("path", ">").alias("path"), F.array_join(_edge_text, "").alias("edges"))
+    lambda m: _go(m, "both").select("entity_id", "depth", F.array_join("path", ">").alias("path"), F.array_join(_edge_text(), "").alias("edges"))
 )
 query("traverse_service", _LEVELS + " SELECT path FROM (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3) ORDER BY depth, id LIMIT 100")(
     lambda m: G.service_paths(m.entities, m.edges, _start(m)).select(F.array_join("path", ">").alias("path"))
