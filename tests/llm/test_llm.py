@@ -94,6 +94,14 @@ def test_scan_lattice(spark):
     assert long in {r["text"] for r in SC.paragraphs(df).collect()}
 
 
+def test_control_characters_in_words(spark):
+    """Separators of what is handed to Python must not be found in forms."""
+    odd = "har\x01bour har\x01bcur ta\x1fb a\tb \x00 |\x01| l\x01ne I\x01ne \u2028end "
+    rows = [(1, uid(1), 1, odd * 40, 0.9, None, "x"), (2, uid(1), 2, odd + "\nhar\x01b-\nour", 0.9, None, "x")]
+    df = spark.createDataFrame(rows, pages(spark).schema)
+    assert SC.read_pages(df, "noise").count() >= 0 and SC.paragraphs(df).count() > 0
+
+
 def test_block_confidence():
     """A line with a doubtful block is more easily held misread than its neighbours, a sure one less."""
     ease = SC.eases(0.9, [0.9, 0.5, None, 0.9, 0.97])
