@@ -493,3 +493,17 @@ def test_entry_needs_no_session():
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = "import __spark_entry__ as E; q, o = E.queries(), E.oracle_sql(); assert set(o) <= set(q) and len(q) > 90; print('fine')"
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120).stdout.strip() == "fine"
+
+
+def test_column_queries(spark):
+    d = docs(spark)
+    get = lambda q: {r["entity_id"] for r in K.search(d, q).collect()}
+    rows = {r["entity_id"]: r for r in d.collect()}
+    for word in ("rust", "language", "programming"):
+        for column in ("title", "content", "tags"):
+            assert get(f"{column}:{word}") == get(f"{column.upper()} : {word}") == {k for k, r in rows.items() if word in K.re.findall(r"[a-z0-9]+", (r[column] or "").lower())}
+    assert get("title:(rust AND language)") == get('title:"rust language"') | get("title:rust title:language")
+    assert get("title:rus* NOT content:language") == get("title:rus*") - get("content:language")
+    for bad in ("nowhere:rust", "title:", "title: AND"):
+        with pytest.raises(ValueError):
+            get(bad)

@@ -47,21 +47,38 @@ def search_docs(flat: DataFrame) -> DataFrame:
 
 
 def index(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Postings (term, entity_id, tf, positions) and lengths (entity_id, len)."""
-    words = docs.select("entity_id", F.concat(tokens(F.col("title")), tokens(F.col("content")), tokens(F.col("tags"))).alias("w"))
+    """Postings (term, entity_id, tf, positions) and lengths (entity_id, len and those of title and
+    content: positions run through title, content and tags)."""
+    words = docs.select("entity_id", F.concat(tokens(F.col("title")), tokens(F.col("content")), tokens(F.col("tags"))).alias("w"), F.size(tokens(F.col("title"))).alias("title_len"), F.size(tokens(F.col("content"))).alias("content_len"))
     each = words.select("entity_id", F.posexplode("w").alias("pos", "term"))
     postings = each.groupBy("term", "entity_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return postings, words.select("entity_id", F.size("w").alias("len"))
+    return postings, words.select("entity_id", F.size("w").alias("len"), "title_len", "content_len")
 
 
-def bm25(postings: DataFrame, lengths: DataFrame, terms: list[str], scale: float = 1.0, prefixes: tuple = ()) -> DataFrame:
+COLUMNS = ("title", "content", "tags")
+
+
+def in_column(postings: DataFrame, lengths: DataFrame, column: str) -> DataFrame:
+    """Postings with only the positions within one column."""
+    begin = {"title": F.lit(0), "content": F.col("title_len"), "tags": F.col("title_len") + F.col("content_len")}[column]
+    end = {"title": F.col("title_len"), "content": F.col("title_len") + F.col("content_len"), "tags": F.col("len")}[column]
+    rows = postings.join(lengths, "entity_id").withColumn("b", begin).withColumn("e", end)
+    held = rows.withColumn("positions", F.filter("positions", lambda p: (p >= F.col("b")) & (p < F.col("e")))).filter(F.size("positions") > 0)
+    return held.select("term", "entity_id", F.size("positions").cast("bigint").alias("tf"), "positions")
+
+
+def bm25(postings: DataFrame, lengths: DataFrame, terms: list[str], scale: float = 1.0, prefixes: tuple = (), columns: dict | None = None) -> DataFrame:
     """(entity_id, score, hits): negative scores, the best least; hits the distinct terms met.
-    Every term that begins with one of the prefixes counts as a term.
+    Every term that begins with one of the prefixes counts as a term; columns: by column the terms and
+    prefixes that count only there.
 
     Only the query's terms leave the index; statistics are one row."""
     stats = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    asked = reduce(lambda a, p: a | F.col("term").startswith(p), prefixes, F.col("term").isin(terms))
-    wanted = postings.filter(asked).select("term", "entity_id", "tf")
+    asked = lambda ts, ps: reduce(lambda a, p: a | F.col("term").startswith(p), ps, F.col("term").isin(ts))
+    wanted = postings.filter(asked(terms, prefixes)).select("term", "entity_id", "tf")
+    for column, (ts, ps) in sorted((columns or {}).items()):
+        held = in_column(postings.filter(asked(ts, ps)), lengths, column)
+        wanted = wanted.unionByName(held.select(F.concat(F.lit(f"{column}:"), "term").alias("term"), "entity_id", "tf"))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
     rows = wanted.join(df, "term").join(lengths, "entity_id").join(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
@@ -89,9 +106,10 @@ _LEX = re.compile(r'"([^"]*)"|(\()|(\))|([^\s()"]+)')
 
 
 def parse(query: str):
-    """AND, OR, NOT, phrases, prefix* and brackets; neighbours are ANDed. A tuple tree."""
+    """AND, OR, NOT, phrases, prefix*, brackets and column: before any of these; neighbours are ANDed. A tuple tree."""
     if query.count('"') % 2:
         raise ValueError("unterminated string")
+    query = "".join(p if k % 2 else re.sub(r"([^\s()]+?)\s*:\s*", r" \1: ", p) for k, p in enumerate(re.split(r'("[^"]*")', query)))
     lexed = [("phrase", m[1]) if m[0].startswith('"') else (m[0], m[0]) if m[0] in "()" else ("word", m[0]) for m in _LEX.finditer(query)]
     at = 0
 
@@ -130,6 +148,10 @@ def parse(query: str):
             return inner
         if kind is None or kind == ")" or text in ("AND", "OR", "NOT"):
             raise ValueError("syntax error in query")
+        if kind == "word" and text.endswith(":"):
+            if text[:-1].lower() not in COLUMNS:
+                raise ValueError(f"no such column: {text[:-1]}")
+            return ("column", text[:-1].lower(), unit())
         words = [w for w in re.split(r"[^\w]+|_", re.sub("[\u0300-\u036f]", "", text).translate(str.maketrans(_PLAIN, _BASE)).lower()) if w]
         if kind == "word" and text.endswith("*"):
             return ("prefix", words[0])
@@ -141,16 +163,18 @@ def parse(query: str):
     return tree
 
 
-def matching(postings: DataFrame, tree) -> DataFrame:
-    """The entities a parsed query admits, by semi, anti and union."""
+def matching(postings: DataFrame, tree, lengths: DataFrame | None = None) -> DataFrame:
+    """The entities a parsed query admits, by semi, anti and union; lengths are needed for columns."""
     op = tree[0]
+    if op == "column":
+        return matching(in_column(postings, lengths, tree[1]), tree[2], lengths)
     if op == "term":
         return postings.filter(F.col("term") == tree[1]).select("entity_id")
     if op == "prefix":
         return prefix(postings, tree[1])
     if op == "phrase":
         return phrase(postings, tree[1])
-    a, b = matching(postings, tree[1]), matching(postings, tree[2])
+    a, b = matching(postings, tree[1], lengths), matching(postings, tree[2], lengths)
     if op == "or":
         return a.union(b).distinct()
     return a.join(b, "entity_id", "left_semi" if op == "and" else "left_anti")
@@ -162,19 +186,40 @@ def _terms(tree, kind: str = "term") -> list[str]:
         return [tree[1]] if tree[0] == kind else []
     if tree[0] == "phrase":
         return tree[1] if kind == "term" else []
+    if tree[0] == "column":
+        return []
     return _terms(tree[1], kind) + ([] if tree[0] == "not" else _terms(tree[2], kind))
 
 
+def _columns(tree) -> dict[str, tuple[list, list]]:
+    """By column the terms and prefixes asked for in it, outside NOT."""
+    if tree[0] == "column":
+        inner = _columns(tree[2])
+        own = inner.setdefault(tree[1], ([], []))
+        own[0].extend(_terms(tree[2]))
+        own[1].extend(_terms(tree[2], "prefix"))
+        return inner
+    out: dict[str, tuple[list, list]] = {}
+    for part in tree[1:] if tree[0] in ("and", "or") else tree[1:2] if tree[0] == "not" else ():
+        for c, (ts, ps) in _columns(part).items():
+            own = out.setdefault(c, ([], []))
+            own[0].extend(ts)
+            own[1].extend(ps)
+    return out
+
+
 def search(docs: DataFrame, query: str, kind: str | None = None, tag: str | None = None, limit: int | None = None, scale: float = 1.0, held: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(entity_id, score, snippet) by BM25, filtered by type and tag; held: postings and lengths of a kept index."""
     postings, lengths = held or index(docs)
     tree = parse(query)
     terms = sorted(set(_terms(tree)))
-    prefixes = tuple(sorted(set(_terms(tree, "prefix"))))
-    found = bm25(postings, lengths, terms, scale, prefixes).join(matching(postings, tree), "entity_id", "left_semi")
+    prefixes, columns = tuple(sorted(set(_terms(tree, "prefix")))), _columns(tree)
+    found = bm25(postings, lengths, terms, scale, prefixes, columns).join(matching(postings, tree, lengths), "entity_id", "left_semi")
+    shown = sorted({*terms, *(t for ts, _ in columns.values() for t in ts)})
+    begun = (*prefixes, *(p for _, ps in columns.values() for p in ps))
     rows = docs if kind is None else docs.filter(F.lower("entity_type") == kind.lower())
     rows = rows if tag is None else rows.filter(F.array_contains("tag_list", tag))
-    out = found.join(rows.select("entity_id", "content"), "entity_id").select("entity_id", "score", snippet(F.col("content"), terms, prefixes=prefixes).alias("snippet"))
+    out = found.join(rows.select("entity_id", "content"), "entity_id").select("entity_id", "score", snippet(F.col("content"), shown, prefixes=begun).alias("snippet"))
     return out.orderBy("score", "entity_id").limit(limit) if limit else out
 
 

@@ -94,7 +94,7 @@ def _index(*terms: str, more: str = "false") -> str:
     return f""", words AS (SELECT id AS entity_id, entity_type, tags AS tag_list, list_concat(list_concat({K.sql_tokens('title')}, {K.sql_tokens('content')}), {K.sql_tokens("array_to_string(tags, ', ')")}) AS w FROM flat),
 post AS (SELECT term, entity_id, count(*) AS tf FROM (SELECT entity_id, unnest(w) AS term FROM words) GROUP BY 1, 2),
 stat AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM words),
-hit AS (SELECT p.*, len(w) AS len, count(*) OVER (PARTITION BY term) AS df FROM post p JOIN words USING (entity_id) WHERE term IN ({', '.join(repr(t) for t in terms)}) OR {more}),
+hit AS (SELECT p.*, len(w) AS len, count(*) OVER (PARTITION BY term) AS df FROM post p JOIN words USING (entity_id) WHERE term IN ({', '.join(repr(t) for t in terms) or "''"}) OR {more}),
 bm AS (SELECT entity_id, -sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score, count(*) AS hits FROM hit, stat GROUP BY 1)
 """
 
@@ -107,6 +107,10 @@ query("keyword_not", _INDEX + ", h AS (SELECT entity_id, -greatest(ln((docs - df
 query("keyword_type_tag", _INDEX + "SELECT entity_id, round(score, 6) AS score FROM bm JOIN words USING (entity_id) WHERE lower(entity_type) = 'article' AND list_contains(tag_list, 'harbour')")(lambda m: _search(m, "harbour OR ledger", kind="article", tag="harbour"))
 query("keyword_phrase", _index("the", "harbour", "waits", more="starts_with(term, 'ledg')") + """SELECT entity_id, round(score, 6) AS score FROM bm JOIN words USING (entity_id)
 WHERE contains(' ' || array_to_string(w, ' ') || ' ', ' the harbour waits ') OR len(list_filter(w, lambda t: starts_with(t, 'ledg'))) > 0""")(lambda m: _search(m, '"the harbour waits" OR ledg*'))
+query("keyword_column", _index() + f""", one AS (SELECT id AS entity_id, {K.sql_tokens('title')} AS tw, {K.sql_tokens('content')} AS cw FROM flat),
+own AS (SELECT entity_id, 'title:relay' AS term, len(list_filter(tw, lambda t: t = 'relay')) AS tf FROM one UNION ALL SELECT entity_id, 'content:harbour', len(list_filter(cw, lambda t: t = 'harbour')) FROM one),
+got AS (SELECT *, count(*) OVER (PARTITION BY term) AS df FROM own WHERE tf > 0)
+SELECT g.entity_id, round(-sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w.w) / mean))), 6) AS score FROM got g JOIN words w USING (entity_id), stat GROUP BY 1""")(lambda m: _search(m, "title:relay OR content : harbour"))
 query("search_postings", _INDEX + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY 1")(lambda m: m.postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")))
 query("chat_terms", f"""SELECT id, array_to_string(list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{Nl}}\\p{{N}}]+'), lambda w: octet_length(encode(w)) >= 3 AND NOT list_contains([{', '.join(repr(w) for w in K.STOPWORDS)}], w)), ' OR ') AS terms
   FROM (SELECT DISTINCT id, text FROM message_details WHERE text IS NOT NULL)""", False)(lambda s, d: Model(s, d).raw("message_details").filter("text is not null").select("id", "text").distinct().select("id", F.array_join(K.chat_terms(F.col("text")), " OR ").alias("terms")))
