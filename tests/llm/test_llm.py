@@ -414,3 +414,37 @@ def test_registry():
 def test_blank_pages_only(spark):
     blank = pages(spark).filter("ocr_id in (5, 6)")
     assert SC.read_pages(blank, "noise").count() == 0 and SC.paragraphs(blank).count() == 0
+
+
+def _scan(spark, *texts):
+    """(noise, text of each page) of pages of one record each."""
+    df = spark.createDataFrame([(k, uid(k), 1, t, 0.9, None, "clash") for k, t in enumerate(texts)], pages(spark).schema)
+    text = SC.paragraphs(df).orderBy("entity_id", "paragraph").collect()
+    return {tuple(r) for r in SC.read_pages(df, "noise").collect() if r["ocr_id"]}, [r["text"] for r in text if r["entity_id"] != uid(0)]
+
+
+@pytest.mark.parametrize("frequent", [1e-5, 0.05])
+def test_scan_keeps_all_candidates(spark, monkeypatch, frequent):
+    """The least common of four words that a form may be, which the words around it show to be meant; a word torn into four;
+    a part of what is no word for its length: the same whether words and pairs are handed to all or asked for."""
+    monkeypatch.setattr(SC, "FREQUENT", frequent)
+    a, b = "donaudampfschifffahrtsgesellschaft", "rindfleischetikettierungsgesetz"
+    plain = "They eat the note. " * 900 + "The cot keeps the note. " * 700 + "Some cal finds it. " * 600 + "Each grey oat waits near the silver harbour. " * 60 + f"The {a} {b} stays open. " * 60
+    noise, text = _scan(spark, plain, "Each grey cat waits near the silver har bour.\n", "Each grey oat waits near the sil v e r harbour.\n", f"The {a}{b} stays open.\n")
+    assert text == ["Each grey oat waits near the silver harbour.", "Each grey oat waits near the silver harbour.", f"The {a} {b} stays open."]
+    assert noise == {(1, 1, "misread")}
+
+
+def test_bitmap_denies_nothing(spark, monkeypatch):
+    forms = ["harbour", "the harbour", "fön", "ﬁn", *(f"w{k}" for k in range(2000))]
+    for bits in (24, 6):
+        monkeypatch.setattr(SC, "BITS", bits)
+        likely = SC._likely(SC._bitmap(spark.createDataFrame([(f,) for f in forms], "form string")))
+        assert all(likely(f) for f in forms) and (bits == 6 or sum(likely(f"v{k}") for k in range(2000)) < 20)
+
+
+def test_page_end_by_all_next_readings():
+    """Of a next page recognised twice, the reading that fits tells whether the hyphen is the word's own."""
+    words = SC.Words(1e5, {"the": 9e3}, {"long-term": (50.0, ()), "longterm": (0.0, ())})
+    for after in (["term"], ["lerm", "term"], ["term", "lerm"]):
+        assert [s[2][2] for s in SC.decode([(0, "the", False), (0, "long-", True)], words, lambda line: 1.0, after)] == [False, False]
